@@ -22,7 +22,7 @@ def bucket(value: Column, steps: list[tuple[float, float]], otherwise: float) ->
 
 def days_between(as_of: Column, when: Column) -> Column:
     """Rounded days from ``when`` to ``as_of``; halves round up, unknown dates count as 0."""
-    days = (F.unix_micros(as_of) - F.unix_micros(when)) / F.lit(86400e6)
+    days = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(when.cast("timestamp"))) / F.lit(86400e6)
     return F.coalesce(F.floor(days + 0.5), F.lit(0)).cast("int")
 
 

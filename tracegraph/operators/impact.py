@@ -10,7 +10,7 @@ from tracegraph.functions.runtime_names import is_runtime_name
 from tracegraph.operators import history
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.lookup import first_definitions
-from tracegraph.operators.shared import first_per_key, substring_join, top_k
+from tracegraph.operators.shared import first_per_key, materialise, substring_join, top_k
 from tracegraph.operators.traverse import callers_of, clamp, seed_frame
 
 MAX_TESTS = 8
@@ -72,14 +72,15 @@ def impact(graph: Graph, seeds, depth: int = 3, names=None, since_days: int = 90
     seeds = seed_frame(graph, seeds)
     chosen = first_definitions(graph, seeds).select("name", F.col("path").alias("file"), F.col("start_line").alias("line")).join(seeds, "name")
     walked = callers_of(graph, seeds, depth)
-    callers = walked.join(chosen.select("seed_id", "file", "name"), ["seed_id", "file", "name"], "left_anti")
+    callers, _ = materialise(walked.join(chosen.select("seed_id", "file", "name"), ["seed_id", "file", "name"], "left_anti"))
     nodes = callers.select("file", "name").distinct()
     recent = (
         history.node_changes(graph, nodes, since_days, 3)
         .groupBy("file", "name")
         .agg(F.count_if(F.col("days_ago") <= 30).alias("n_recent"))
     )
-    tested = tests_mentioning(graph, nodes.select("name").distinct()).select("name").distinct().withColumn("has_test", F.lit(True))
+    names_seen = nodes.select("name").unionByName(seeds.select("name"))
+    tested, _ = materialise(tests_mentioning(graph, names_seen).select("name").distinct().withColumn("has_test", F.lit(True)))
     facts = (
         callers.join(unresolved_counts(graph, nodes, names), ["file", "name"], "left")
         .join(recent, ["file", "name"], "left")
@@ -94,9 +95,7 @@ def impact(graph: Graph, seeds, depth: int = 3, names=None, since_days: int = 90
         "risk", signals.risk_score(F.col("n_unresolved"), F.col("n_recent"), F.col("has_test"), F.col("distance"), depth)
     )
     nothing = F.lit(None).cast("string")
-    seed_rows = chosen.join(
-        tests_mentioning(graph, seeds.select("name").distinct()).select("name").distinct().withColumn("has_test", F.lit(True)), "name", "left"
-    ).select(
+    seed_rows = chosen.join(tested, "name", "left").select(
         "seed_id", "name", "file", "line", zero.alias("distance"), zero.cast("long").alias("n_unresolved"), zero.cast("long").alias("n_recent"),
         F.coalesce("has_test", F.lit(False)).alias("has_test"), nothing.alias("parent_file"), nothing.alias("parent_name"),
         F.lit(0.0).alias("risk"),

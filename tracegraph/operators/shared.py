@@ -83,28 +83,28 @@ def sized_join(many: DataFrame, few: DataFrame, n_few: int, keys: list[str], how
 GRAM_CLASSES = [(8, None, 8), (4, 8, 4), (2, 4, 2), (1, 2, 1)]
 
 
-def substring_join(needles: DataFrame, needle: str, hay: DataFrame, hay_id: str, text: str, min_length: int = 1) -> DataFrame:
+def substring_join(needles: DataFrame, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
     """(hay_id, needle) pairs where the text contains the needle, without comparing all pairs.
 
     The haystack is cut into the grams of each length class, joined on the
     needle's first gram, and every surviving pair is checked against the text.
     """
-    distinct = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    distinct, n_needles = materialise(
+        needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    )
     source = hay.select(F.col(hay_id).alias("_hay"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    parts = []
-    for low, high, gram in GRAM_CLASSES:
-        if high is not None and high <= min_length:
+    size = F.length("_needle")
+    in_class = [size >= low if high is None else (size >= low) & (size < high) for low, high, _ in GRAM_CLASSES]
+    present = distinct.agg(*[F.count_if(c) for c in in_class]).first()
+    parts = [source.select("_hay", F.lit(None).cast("string").alias("_needle")).limit(0)]
+    for condition, (_, _, gram), count in zip(in_class, GRAM_CLASSES, present):
+        if not count:
             continue
-        size = F.length("_needle")
-        wanted = distinct.filter((size >= low) & (size < high) if high is not None else size >= low)
-        wanted = wanted.withColumn("_gram", F.substring("_needle", 1, gram))
-        starts = F.when(F.length("_text") >= gram, F.sequence(F.lit(1), F.length("_text") - (gram - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        grams = source.select(
-            "_hay", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("_text").substr(i, F.lit(gram))))).alias("_gram")
-        )
-        parts.append(grams.join(wanted, "_gram").select("_hay", "_needle"))
+        wanted = distinct.filter(condition).withColumn("_gram", F.substring("_needle", 1, gram))
+        # A look-ahead yields the gram at every position in one scan of the text.
+        every_gram = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
+        grams = source.select("_hay", F.explode(F.array_distinct(every_gram)).alias("_gram"))
+        parts.append(sized_join(grams, wanted, count, ["_gram"]).select("_hay", "_needle"))
     candidates = parts[0]
     for part in parts[1:]:
         candidates = candidates.unionByName(part)

@@ -63,6 +63,7 @@ def path_of(doc: str) -> str:
 
 N_PARTS = "(SELECT max(p_partkey) + 1 FROM {part})"
 N_FILES = f"(SELECT {whole('max(p_partkey)', 16)} + 1 FROM {{part}})"
+N_DOCS = "(SELECT max(doc_id) + 1 FROM {documents})"
 KINDS = "class,method,method,method,method,function,function,function,function,const,interface,type,param,param,local,local"
 # First and last line of each slot, before scaling by the block's line factor.
 STARTS = "1,2,8,14,20,30,38,46,54,62,68,72,30,38,32,40"
@@ -77,18 +78,25 @@ VIEW_SQL = {
         FROM {{documents}}""",
     "file_text": f"""
         SELECT doc_id AS id, {path_of('doc_id')} AS path, {language_of('doc_id')} AS language,
-               text || chr(10) || 'call ' || {name_of('doc_id * 3')} || '() ' || {name_of('doc_id * 5 + 1')}
+               text || chr(10) || imports || 'call ' || {name_of('doc_id * 3')} || '() ' || {name_of('doc_id * 5 + 1')}
                     || '(x)' || chr(10) AS content
-        FROM {{documents}}""",
+        FROM (SELECT doc_id, text,
+                     CASE WHEN {language_of('doc_id')} = 'python'
+                          THEN 'from ..pkg' || {text('d1 % 20')} || '.mod_' || {text('d1')} || ' import thing' || chr(10)
+                            || 'from ..pkg' || {text('d2 % 20')} || '.mod_' || {text('d2')} || ' import other' || chr(10)
+                          ELSE 'import {{ thing }} from "../pkg' || {text('d1 % 20')} || '/mod_' || {text('d1')} || '.js";' || chr(10)
+                            || 'import {{ other }} from "../pkg' || {text('d2 % 20')} || '/mod_' || {text('d2')} || '";' || chr(10)
+                          END AS imports
+              FROM (SELECT doc_id, text, (doc_id * 7 + 1) % {N_DOCS} AS d1, (doc_id * 3 + 2) % {N_DOCS} AS d2 FROM {{documents}}) d) t""",
     "symbols": f"""
         SELECT id, file_id, name, kind,
                CASE WHEN slot BETWEEN 1 AND 4 THEN id - slot WHEN slot IN (12, 13) THEN id - 7 ELSE NULL END AS parent_id,
                CAST((start0 - 1) * scale + 1 AS INT) AS start_line, CAST(end0 * scale AS INT) AS end_line,
                CASE WHEN kind = 'param' THEN NULL ELSE signature END AS signature,
                exported,
-               CASE WHEN slot = 12 THEN {name_of('id - slot')}
-                    WHEN slot = 13 THEN 'Optional[' || {name_of('id - slot')} || ']'
-                    WHEN slot = 14 THEN {name_of('id - slot')} || ' | None' ELSE NULL END AS type_text
+               CASE WHEN slot = 12 THEN {name_of('id - slot + 16')}
+                    WHEN slot = 13 THEN 'Optional[' || {name_of('id - slot + 16')} || ']'
+                    WHEN slot = 14 THEN {name_of('id - slot + 16')} || ' | None' ELSE NULL END AS type_text
         FROM (SELECT p_partkey AS id, {whole('p_partkey', 16)} AS file_id, {name_of('p_partkey')} AS name,
                      {pick(KINDS, 'p_partkey % 16')} AS kind, p_partkey % 16 AS slot,
                      CAST({pick(STARTS, 'p_partkey % 16')} AS BIGINT) AS start0,
@@ -99,7 +107,7 @@ VIEW_SQL = {
               FROM {{part}}) s""",
     "call_sites": f"""
         SELECT id, from_symbol_id, target, is_open, kind, confidence, call_line, is_builtin, is_method_call, builtin,
-               {name_of('target')} AS target_name
+               {name_of('target')} AS target_name, {name_of('from_symbol_id + 7')} AS receiver
         FROM (SELECT {text('l_orderkey')} || '-' || {text('l_linenumber')} || '-' || {text('l_partkey')} || '-'
                      || {text('l_suppkey')} || '-' || {text('CAST(l_quantity AS INT)')} AS id,
                      l_partkey - l_partkey % 16 + (l_partkey % 16) % 10 AS from_symbol_id,
@@ -125,7 +133,7 @@ VIEW_SQL = {
         SELECT id, from_symbol_id, CAST(NULL AS BIGINT) AS to_symbol_id,
                CASE WHEN is_builtin THEN builtin ELSE target_name END AS to_name, kind,
                CAST(1.0 AS DOUBLE) AS confidence, call_line, CAST(NULL AS STRING) AS resolution_kind,
-               CASE WHEN is_method_call THEN '  self.' ELSE '  ' END
+               CASE WHEN is_method_call THEN '  ' || receiver || '.' ELSE '  ' END
                     || CASE WHEN is_builtin THEN builtin ELSE target_name END || '(x)' AS line_text
         FROM {call_sites}""",
     "arg_bindings": f"""
@@ -301,6 +309,14 @@ class StarGraph(Graph):
     def _view_name(self, name: str) -> str:
         return f"tracegraph_{name}"
 
+    @cached_property
+    def py_roots(self) -> DataFrame:
+        """Top directories act as package roots."""
+        from pyspark.sql import functions as F
+
+        top = F.substring_index("path", "/", 1)
+        return self.files.select(top.alias("package"), top.alias("root")).distinct()
+
     @cached_property
     def as_of(self):
         """Timestamp of the newest commit, as a scalar subquery column."""
