@@ -79,7 +79,8 @@ def compare(spark, con, key, directory):
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    prefixes = sys.argv[2:]
+    prefixes = [a for a in sys.argv[2:] if not a.startswith("from=")]
+    since = next((a[5:] for a in sys.argv[2:] if a.startswith("from=")), None)
     directory = f"/root/testdata/sf{sf}"
     spark = local_session(cores="8")
     con = duckdb.connect()
@@ -89,6 +90,9 @@ def main():
     for key in QUERIES:
         if prefixes and not any(key.startswith(p) for p in prefixes):
             continue
+        if since and key != since:
+            continue
+        since = None
         try:
             status, n, took, note = compare(spark, con, key, directory)
         except Exception as err:  # noqa: BLE001

@@ -21,7 +21,7 @@ def unresolved_targets(graph: Graph, nodes: DataFrame, names=None) -> DataFrame:
     located = symbols_with_path(graph).select(F.col("id").alias("from_symbol_id"), F.col("path").alias("file"), "name")
     wanted = located.join(nodes.select("file", "name").distinct(), ["file", "name"], "left_semi")
     open_calls = graph.edges.filter((F.col("kind") == "CALLS") & F.col("to_symbol_id").isNull()).filter(
-        ~is_runtime_name(F.col("to_name"), names)
+        ~is_runtime_name("to_name", names)
     )
     return (
         open_calls.select("from_symbol_id", F.col("to_name").alias("target"))

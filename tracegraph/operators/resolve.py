@@ -199,7 +199,7 @@ def classify_open(edges: DataFrame, imports: DataFrame, names=None) -> DataFrame
     open_call = F.col("to_symbol_id").isNull() & (F.col("kind") == "CALLS")
     external = F.col("_module").isNotNull() & (F.col("_module") != "") & ~F.col("_module").startswith(".")
     kind = (
-        F.when(is_runtime_name(F.col("to_name"), names), F.lit("stdlib"))
+        F.when(is_runtime_name("to_name", names), F.lit("stdlib"))
         .when(external, F.lit("external_module"))
         .when(parsing.has_method_call("line_text", "to_name"), F.lit("instance_method"))
         .otherwise(F.lit("unknown"))

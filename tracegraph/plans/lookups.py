@@ -52,7 +52,7 @@ def p03(g):
 @query("p04_runtime_name_filter", f"""
     SELECT to_name, count(*) AS n FROM edges WHERE to_symbol_id IS NULL AND to_name NOT IN ({RUNTIME}) GROUP BY to_name""")
 def p04(g):
-    open_ = g.edges.filter(F.col("to_symbol_id").isNull() & ~is_runtime_name(F.col("to_name")))
+    open_ = g.edges.filter(F.col("to_symbol_id").isNull() & ~is_runtime_name("to_name"))
     return open_.groupBy("to_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -289,7 +289,7 @@ def a02(g):
     WHERE e.kind = 'CALLS' AND e.to_symbol_id IS NULL AND e.to_name NOT IN ({RUNTIME}) AND s.kind = 'class'""")
 def a03(g):
     located = symbols_with_path(g).filter(F.col("kind") == "class").select(F.col("id").alias("from_symbol_id"), F.col("path").alias("file"), "name")
-    open_ = g.edges.filter((F.col("kind") == "CALLS") & F.col("to_symbol_id").isNull() & ~is_runtime_name(F.col("to_name")))
+    open_ = g.edges.filter((F.col("kind") == "CALLS") & F.col("to_symbol_id").isNull() & ~is_runtime_name("to_name"))
     return open_.select("from_symbol_id", F.col("to_name").alias("target")).distinct().join(located, "from_symbol_id").select(
         "file", "name", "target"
     ).distinct()
