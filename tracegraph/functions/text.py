@@ -62,16 +62,19 @@ def clamped_range(lines: Column, start: Column, end: Column, max_lines: int):
     return lo, hi
 
 
-def body_preview(content: Column, start: Column, end: Column, max_lines: int = 30) -> Column:
+def preview_of_lines(lines: Column, start: Column, end: Column, max_lines: int = 30) -> Column:
     """The first lines of a symbol's range; NULL when blank or out of range."""
-    lines = lines_of(content)
     lo, hi = clamped_range(lines, start, end, max_lines)
     joined = F.array_join(F.slice(lines, lo, F.greatest(hi - lo + 1, F.lit(0))), "\n")
     trimmed = F.regexp_replace(joined, r"^\s+|\s+$", "")
-    usable = content.isNotNull() & (start > 0) & (end >= start) & (hi >= lo) & (F.length(trimmed) > 0)
+    usable = lines.isNotNull() & (start > 0) & (end >= start) & (hi >= lo) & (F.length(trimmed) > 0)
     return F.when(usable, trimmed)
 
 
+def body_preview(content: Column, start: Column, end: Column, max_lines: int = 30) -> Column:
+    return preview_of_lines(lines_of(content), start, end, max_lines)
+
+
 def source_slice(content: Column, start: Column, end: Column, max_lines: int) -> Column:
     """Struct (body, start_line, end_line, truncated) for a candidate's source."""
     lines = lines_of(content)
