@@ -10,7 +10,7 @@ from tracegraph.api import FAILURE_SCHEMA
 from tracegraph.sources import extraction, files, store
 from tracegraph.sources.python_source import python_facts
 from tracegraph.sources.typescript_source import typescript_facts
-from tracegraph.streaming.changes import GraphUpkeep, debounced_stream
+from tracegraph.streaming.changes import GraphUpkeep, burst_files, burst_stream
 
 SOURCES = {
     "web/a.ts": 'export function foo(x: number): number {\n  return x;\n}\nexport class Greeter {\n  greet() { return "hi"; }\n}\n',
@@ -194,11 +194,16 @@ def test_debounced_stream_groups_bursts(spark, tmp_path):
     ms = lambda n: t0 + datetime.timedelta(milliseconds=n)
     rows = [("r", "a", "modify", ms(0)), ("r", "b", "modify", ms(100)), ("r", "c", "modify", ms(1000)), ("r", "z", "modify", ms(600000))]
     spark.createDataFrame(rows, "repo string, path string, action string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("repo string, path string, action string, ts timestamp").parquet(str(tmp_path / "in"))
-    q = debounced_stream(stream).writeStream.format("memory").queryName("bursts").outputMode("append").start()
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "in"))
+    got = set()
+
+    def sink(closed, epoch):
+        got.update((r.session_start, r.path) for r in burst_files(closed, stored).collect())
+
+    q = burst_stream(stream).writeStream.foreachBatch(sink).outputMode("append").start()
     try:
         q.processAllAvailable()
-        got = {(r.session_start, r.path) for r in spark.table("bursts").collect()}
     finally:
         q.stop()
     assert got == {(ms(0), "a"), (ms(0), "b"), (ms(1000), "c")}

@@ -47,22 +47,35 @@ def latest_actions(bursts: DataFrame) -> DataFrame:
     )
 
 
-def debounced_stream(events: DataFrame, gap: str = "150 milliseconds", lateness: str = "10 seconds") -> DataFrame:
-    """Streaming form: one row per burst and file once the burst is over. ``events(repo, path, action, ts)``.
+def burst_stream(events: DataFrame, gap: str = "150 milliseconds", lateness: str = "10 seconds") -> DataFrame:
+    """Closed bursts of a change stream: (repo, session_start, session_end, n_events). ``events(repo, path, action, ts)``.
 
-    Append-mode session windows need a watermark; the reference behaviour has
-    none, so late events beyond ``lateness`` are the only ones lost.
+    Append-mode session windows need a watermark; only events later than
+    ``lateness`` are lost. The state holds bounds and a count per open burst,
+    never its files, so a busy repository costs no more than a quiet one.
     """
-    # Sessions span the repository, files are rolled up inside; the map stays
-    # small because it holds distinct paths of one burst.
     return (
         events.withWatermark("ts", lateness)
         .groupBy(F.session_window("ts", gap).alias("session"), "repo")
-        .agg(F.collect_set("path").alias("paths"), F.count(F.lit(1)).alias("n_events"))
-        .select("repo", F.col("session.start").alias("session_start"), F.explode("paths").alias("path"), "n_events")
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .select("repo", F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "n_events")
     )
 
 
+def burst_files(bursts: DataFrame, events: DataFrame, bucket: str = BUCKET) -> DataFrame:
+    """Distinct (repo, session_start, path) of closed bursts, read back from the stored events in ``foreachBatch``.
+
+    Joined on repository and time bucket, so one repository spreads over many keys.
+    """
+    step = F.expr(f"INTERVAL {bucket}")
+    slot = lambda c: F.window(c, bucket)["start"]
+    spans = bursts.withColumn("_from", slot("session_start")).withColumn("_to", slot("session_end"))
+    keyed = spans.withColumn("_bucket", F.explode(F.sequence("_from", "_to", step))).drop("_from", "_to")
+    tagged = events.select("repo", "path", "ts", slot("ts").alias("_bucket"))
+    inside = (F.col("ts") >= F.col("session_start")) & (F.col("ts") < F.col("session_end"))
+    return tagged.join(keyed, ["repo", "_bucket"]).filter(inside).select("repo", "session_start", "path").distinct()
+
+
 class GraphUpkeep:
     """foreachBatch sink that keeps stored graph tables in step with changed files.
 
