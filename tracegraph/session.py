@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Ship the few functions that run in Python workers with the job itself, so
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 # Runtime SQL settings every job relies on. They can be set on a session that
 # somebody else created, so queries apply them to whatever session they get.
 RUNTIME_CONF = {
