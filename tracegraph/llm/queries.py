@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from tracegraph.llm import exact
+from tracegraph.llm import exact, simhash
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -29,3 +29,9 @@ WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 def op2_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact.equal_texts(table(spark, directory, "documents"))
+
+
+@query("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, directory, "documents"))

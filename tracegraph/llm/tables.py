@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tracegraph.session import checkpoint_dir
 
@@ -43,3 +47,28 @@ def hot_counts(df: DataFrame, key: str, total: int, share: float = HOT_SHARE) ->
     limit = max(1.0, total * share)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     return counts.select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("pieces"))
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, compute: Callable, fields: str, rows: int = 2000) -> DataFrame:
+    """``keep`` columns unchanged, then the columns of ``compute(texts)``.
+
+    ``compute`` gets a list of texts (None for null) and returns one sequence per
+    field of ``fields`` (a DDL string). Batches are cut to ``rows`` texts, so what a
+    worker holds does not depend on the size of the input.
+    """
+    source = df.select(*keep, F.col(text).alias("_text"))
+    kept = source.select(*keep).schema
+    made = StructType.fromDDL(fields)
+    types = [f.type for f in to_arrow_schema(made)]
+    names = [*keep, *made.fieldNames()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                columns = compute(part.column(len(keep)).to_pylist())
+                arrays = [part.column(i) for i in range(len(keep))]
+                arrays += [pa.array(c, type=t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return source.mapInArrow(run, StructType([*kept.fields, *made.fields]))
