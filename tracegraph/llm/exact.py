@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegraph.llm.tables import HOT_SHARE, hot_counts, saved
+from tracegraph.llm.tables import HOT_SHARE, hot_counts, quoted, saved
 
 # What normalisation deletes: the characters [\x20\x09-\x0D].
 DELETED = " \n\t\r\x0b\x0c"
@@ -98,7 +98,7 @@ def drop_equal(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shar
     The same choice as ``equal_texts``; of rows that agree in identifier and text
     exactly one stays.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
     groups = _sorted_groups(docs, text, doc_id, share, docs.count(), [row]).filter(F.col("_rank") == 1)
     again = Window.partitionBy("_norm").orderBy(F.desc("_points"), F.asc_nulls_last("_id"), "_piece")
     # The pieces of hot texts have 1 / share first rows at most.

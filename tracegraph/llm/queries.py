@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracegraph.llm import exact, simhash
+from tracegraph.llm import exact, langid, simhash
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -35,3 +35,17 @@ def op2_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, directory, "documents"))
+
+
+def _not_fold(doc_id: str, parts: int, fold: int) -> Column:
+    """Rows whose crc32 of the identifier as text leaves another remainder than ``fold``."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts != fold
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the identifiers."""
+    docs = table(spark, directory, "documents")
+    model = langid.fit(docs, only=_not_fold("doc_id", 3, 1))
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (~_not_fold("doc_id", 3, 1)).alias("held_out"), "lang_pred", "score", "ambiguous")

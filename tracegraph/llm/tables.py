@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -18,6 +18,11 @@ from tracegraph.session import checkpoint_dir
 HOT_SHARE = 0.001
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -56,8 +61,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, compute: Callable, fiel
     field of ``fields`` (a DDL string). Batches are cut to ``rows`` texts, so what a
     worker holds does not depend on the size of the input.
     """
-    source = df.select(*keep, F.col(text).alias("_text"))
-    kept = source.select(*keep).schema
+    source = df.select(*[quoted(c) for c in keep], quoted(text).alias("_text"))
+    kept = df.select(*[quoted(c) for c in keep]).schema
     made = StructType.fromDDL(fields)
     types = [f.type for f in to_arrow_schema(made)]
     names = [*keep, *made.fieldNames()]
@@ -72,3 +77,17 @@ def map_texts(df: DataFrame, keep: list[str], text: str, compute: Callable, fiel
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return source.mapInArrow(run, StructType([*kept.fields, *made.fields]))
+
+
+def sample_rows(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, the same number for every label; all of a rare label.
+
+    A row is drawn by a hash of its contents, so a repeated job draws the same rows.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    each = rows / max(1, len(counts))
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(share)
+    draw = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.filter(draw < share)
