@@ -22,9 +22,7 @@ END = 2
 # Rounds of the multiplicative weights, columns taken from one pricing, and learning rate.
 ROUNDS = 160
 COLUMNS = 16
-RATE = 0.5
-# How often the program is solved again for what rounding left over.
-RESOLVES = 4
+RATE = 0.2
 
 # Texts in these characters have the same words under both libraries' patterns.
 PLAIN = re.compile(r"[\n\x20-\x7e¡-ɏ]*")
@@ -148,28 +146,21 @@ def configurations(need: dict[int, int], capacity: int) -> list[tuple[Counter, f
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
     """Fillings and how many sequences take each; together exactly the pieces of the histogram.
 
-    Each solution is rounded by taking its fillings, most used first, as often as the
-    program says and the remaining pieces allow. What the last rounding leaves is placed
-    best fit, longest first. Work depends on the number of lengths, not of pieces.
+    The solution is rounded down: its fillings, most used first, are taken as often as
+    the program says and the remaining pieces allow. What rounding leaves is placed best
+    fit, longest first. Work depends on the number of lengths, not of pieces.
     """
     need = {n: k for n, k in histogram.items() if k > 0}
     chosen: list[tuple[Counter, int]] = []
     if need.get(capacity):
         chosen.append((Counter({capacity: 1}), need.pop(capacity)))
-    for _ in range(RESOLVES):
-        if not need:
-            break
-        taken = 0
+    if need:
         for filling, x in sorted(configurations(need, capacity), key=lambda f: (-f[1], sorted(f[0].items()))):
-            times = min([int(x), *[need.get(n, 0) // c for n, c in filling.items()]])
-            if times > 0 and sum(n * c for n, c in filling.items()) == capacity:
+            times = min(int(x), *[need[n] // c for n, c in filling.items()])
+            if times > 0:
                 chosen.append((filling, times))
-                taken += times
                 for n, c in filling.items():
                     need[n] -= c * times
-        need = {n: k for n, k in need.items() if k}
-        if not taken:
-            break
     return chosen + best_fit(need, capacity)
 
 
@@ -178,7 +169,7 @@ def best_fit(need: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     open_bins: dict[int, list[tuple[tuple, int]]] = {}
     for n in sorted(need, reverse=True):
         left = need[n]
-        while left:
+        while left > 0:
             room = min((r for r in open_bins if r >= n and open_bins[r]), default=None)
             if room is None:
                 per = capacity // n

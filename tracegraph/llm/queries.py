@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import exact, langid, simhash
+from tracegraph.llm import exact, langid, packing, simhash
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -42,6 +43,12 @@ def _not_fold(doc_id: str, parts: int, fold: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts != fold
 
 
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents as pieces of training sequences."""
+    return packing.pack(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     """Language of every document, learned from two thirds of the identifiers."""
