@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import exact, langid, packing, simhash
+from tracegraph.llm import exact, langid, packing, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -43,6 +43,13 @@ def _not_fold(doc_id: str, parts: int, fold: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts != fold
 
 
+@query("op6_warc_records")
+def op6_warc_records(spark: SparkSession, directory: str) -> DataFrame:
+    """All pages through ARC and WARC files."""
+    found = warc.archive_pages(table(spark, directory, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     """All documents as pieces of training sequences."""
