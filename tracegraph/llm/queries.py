@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import exact, langid, packing, simhash, warc
+from tracegraph.llm import exact, langid, packing, quality, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+def _not_fold(doc_id: str, parts: int, fold: int) -> Column:
+    """Rows whose crc32 of the identifier as text leaves another remainder than ``fold``."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts != fold
+
+
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -38,9 +43,14 @@ def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
-def _not_fold(doc_id: str, parts: int, fold: int) -> Column:
-    """Rows whose crc32 of the identifier as text leaves another remainder than ``fold``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts != fold
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality of every document, learned from four fifths of the labelled identifiers."""
+    docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    model = quality.fit(docs, labels, only=_not_fold("doc_id", 5, 0))
+    scored = quality.score(docs, model, ["doc_id"])
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (~_not_fold("doc_id", 5, 0)).alias("held_out"), "score", predicted)
 
 
 @query("op6_warc_records")
