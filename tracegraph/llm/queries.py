@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import exact, langid, packing, quality, simhash, warc
+from tracegraph.llm import decontaminate, exact, langid, packing, quality, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -43,6 +43,12 @@ def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    """Every (document, test item) where the document holds the item."""
+    return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     """Quality of every document, learned from four fifths of the labelled identifiers."""

@@ -35,15 +35,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+CHUNK = 1 << 20
+
+
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from each start to its end, the same wherever they lie."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    low = int(starts[0])
-    part = data[low : int(ends[-1])].astype(np.uint64) + np.uint64(1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * powers(BASE, len(part)))))
-    back = powers(INVERSE, len(part) + 1)
-    return mix((sums[ends - low] - sums[starts - low]) * back[starts - low])
+    """A hash of the bytes from each start to its end, the same wherever they lie. Pieces lie in order, apart from each other."""
+    out, at = np.zeros(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK)))
+        part = data[low : int(ends[stop - 1])].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * powers(BASE, len(part)))))
+        first = starts[at:stop] - low
+        out[at:stop] = mix((sums[ends[at:stop] - low] - sums[first]) * powers(INVERSE, len(part) + 1)[first])
+        at = stop
+    return out
 
 
 def word_hashes(text: str | None, fold: bool = True) -> np.ndarray:
@@ -61,3 +67,13 @@ def chained(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(BASE) + hashes[k : len(hashes) - width + 1 + k])
     return out
+
+
+# ASCII letters and digits stay (capitals folded), other ASCII characters become spaces.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
+
+
+def bare_words(text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased words, ASCII punctuation left out."""
+    data = np.frombuffer((text or "").lower().encode("utf-8").translate(LETTERS), dtype=np.uint8)
+    return piece_hashes(data, *spans(data))
