@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import decontaminate, exact, langid, packing, quality, simhash, warc
+from tracegraph.llm import decontaminate, exact, langid, licenses, packing, quality, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -49,6 +49,12 @@ def op3_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFr
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    """Every license notice in every document."""
+    return licenses.license_spans(table(spark, directory, "documents"))
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     """Quality of every document, learned from four fifths of the labelled identifiers."""
