@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import decontaminate, exact, langid, licenses, packing, quality, simhash, warc
+from tracegraph.llm import decontaminate, exact, langid, licenses, packing, pii, quality, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -78,6 +78,12 @@ def op7_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_private_surrogates")
+def op8_private_surrogates(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return pii.replace_private(table(spark, directory, "documents"), "tracegraph")
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     """Language of every document, learned from two thirds of the identifiers."""
