@@ -1,24 +1,49 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet
-and read again as the next stage's docs.
+and read again as the next stage's docs. All but the last return the columns they got.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegraph.llm import exact
+from tracegraph.llm import decontaminate, exact, langid, packing, simhash
 from tracegraph.llm.tables import saved, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose two nearest codewords are equally near, go."""
+    return langid.drop_unidentified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of texts that are equal without white space one document stays."""
     return exact.drop_equal(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints the one with the smallest identifier stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents with their places in training sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("language identification", identify_language),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 # Language models, fingerprints and tokens cannot be said in SQL.
