@@ -218,7 +218,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
     one length are numbered by their task's first number plus their number in the task.
     """
     cut = saved(pieces(docs, vocabulary, text, doc_id, capacity, end), "pieces")
-    counts = saved(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = allocation(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
