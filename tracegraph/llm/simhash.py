@@ -105,14 +105,17 @@ def _stars(crowd: DataFrame) -> DataFrame:
     return masked.join(least, keys).filter("fp <> a").select("a", F.col("fp").alias("b"))
 
 
-def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def links(distinct: DataFrame, pairwise: int = PAIRWISE, rows: int | None = None) -> DataFrame:
     """Links between distinct fingerprints whose components are those of distance two.
 
     ``pairwise`` chooses between two exact ways; no link is lost at any bucket size.
+    ``rows``, if known, is how many fingerprints there are at most.
     """
-    index = variants(distinct)
+    # A few files hold many fingerprints; each becomes 33 rows, so they are dealt out first.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(distinct.repartition(tasks, "fp"))
     sizes = index.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowd = saved(index.join(sizes, ["slot", "value"]), "buckets")
+    crowd = saved(index.join(sizes, ["slot", "value"]), "buckets", rows and 33 * rows)
     return _pairs(crowd.filter(F.col("n") <= pairwise)).unionByName(_stars(crowd.filter(F.col("n") > pairwise)).distinct())
 
 
@@ -127,8 +130,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     identifier get one row each. Other columns are ignored.
     """
     prints = saved(fingerprints(docs, text, doc_id), "fingerprints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), pairwise))
+    rows = prints.count()
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows)
+    roots = components(links(distinct.select("fp"), pairwise, rows), rows)
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     assigned = placed.join(named, "root").select("fp", "component_id")

@@ -33,12 +33,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+# Rows of a narrow table per written file, where their number is known.
+ROWS_PER_FILE = 500_000
+
+
+def saved(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again.
 
     Later steps read the files, so a lost executor repeats none of the work before them.
+    ``rows`` is what a narrow table holds at most; it is then written in so many files as
+    that takes, instead of one for each of many small tasks.
     """
     path = shared_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
