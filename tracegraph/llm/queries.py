@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import decontaminate, exact, langid, licenses, packing, pii, quality, simhash, warc
+from tracegraph.llm import decontaminate, exact, langid, licenses, lines, packing, pii, quality, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.tables import table
 
@@ -31,6 +31,16 @@ WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Per document: its lines, how many are removed, and the links of its lines."""
+    found = lines.similar_lines(table(spark, directory, "documents"))
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("removed").alias("removed"), F.sum("links").alias("links"),
+        F.min(F.when(F.col("size") > 0, F.col("class_doc"))).alias("class_id"),
+    )
+
+
 @query("op2_exact_dedup", EXACT_SQL)
 def op2_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Groups of equal texts over all documents."""
