@@ -44,7 +44,8 @@ def _sorted_groups(docs: DataFrame, text: str, doc_id: str, share: float, total:
         .drop("pieces")
         .repartitionByRange("_prefix", "_hash", "_piece")
     )
-    equal = Window.partitionBy("_prefix", "_hash", "_piece", "_norm").orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
+    # _hot depends on _hash; as a key it lets a filter on it reach the scan.
+    equal = Window.partitionBy("_hot", "_prefix", "_hash", "_piece", "_norm").orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ranged.withColumns({
         "_rank": F.row_number().over(equal),

@@ -159,7 +159,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", only: Column |
                     langs.append(name)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_codes(texts, langs, bits))], type=pa.binary())], ["model"])
 
-    return pickle.loads(sample.select("text", "lang").repartition(1).mapInArrow(run, "model binary").first()[0])
+    fitted = sample.select("text", "lang").repartition(1).mapInArrow(run, "model binary").first()
+    # Spark runs no task where there is no row.
+    return pickle.loads(fitted[0]) if fitted else fit_codes([], [], bits)
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:

@@ -173,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             marks += batch.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_quality(texts, marks, prior, bits))], type=pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    fitted = sample.repartition(1).mapInArrow(run, "model binary").first()
+    # Spark runs no task where there is no row.
+    return pickle.loads(fitted[0]) if fitted else fit_quality([], [], 1.0, bits)
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:

@@ -69,7 +69,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, compute: Callable, fiel
     field of ``fields`` (a DDL string). Batches are cut to ``rows`` texts, so what a
     worker holds does not depend on the size of the input.
     """
-    source = df.select(*[quoted(c) for c in keep], quoted(text).alias("_text"))
+    # Plain names on the way in, whatever the columns are called.
+    source = df.select(*[quoted(c) for c in keep], quoted(text)).toDF(*[f"c{i}" for i in range(len(keep))], "text")
     kept = df.select(*[quoted(c) for c in keep]).schema
     made = StructType.fromDDL(fields)
     types = [f.type for f in to_arrow_schema(made)]
