@@ -35,20 +35,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-CHUNK = 1 << 20
+# Bytes handled at once, few enough for the arrays to stay in a processor's cache.
+CHUNK = 1 << 15
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes from each start to its end, the same wherever they lie. Pieces lie in order, apart from each other."""
-    out, at = np.zeros(len(starts), dtype=np.uint64), 0
-    while at < len(starts):
-        low = int(starts[at])
-        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK)))
-        part = data[low : int(ends[stop - 1])].astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * powers(BASE, len(part)))))
-        first = starts[at:stop] - low
-        out[at:stop] = mix((sums[ends[at:stop] - low] - sums[first]) * powers(INVERSE, len(part) + 1)[first])
-        at = stop
+    out = np.zeros(len(starts), dtype=np.uint64)
+    cuts = [0]
+    while cuts[-1] < len(starts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, int(starts[cuts[-1]]) + CHUNK))))
+    size = max((int(ends[j - 1] - starts[i]) for i, j in zip(cuts, cuts[1:])), default=0)
+    forth, back = powers(BASE, size), powers(INVERSE, size + 1)
+    for i, j in zip(cuts, cuts[1:]):
+        low, high = int(starts[i]), int(ends[j - 1])
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * forth[: high - low], out=sums[1:])
+        first = starts[i:j] - low
+        out[i:j] = mix((sums[ends[i:j] - low] - sums[first]) * back[first])
     return out
 
 
