@@ -175,7 +175,7 @@ def test_fit_separates_and_paths_agree(spark):
     rng = random.Random(5)
     rows = [(f"e{i // 5}", i % 5 + 1, int(i % 5 == 2), float(3 * (i % 5 == 2)), rng.choice([0.5, 1.0])) for i in range(200)]
     df = spark.createDataFrame(rows, "entry_id string, candidate_rank int, label int, a double, b double")
-    w, bias, _ = evaluate.fit_weights(df, ["a", "b"], max_iter=200)
+    w, bias, _ = evaluate.fit_weights(df, ["a", "b"])
     assert w[0] > 1.0 and evaluate.clip([-1.0, 2.0]) == [0.0, 2.0]
     ranks = evaluate.gold_ranks(df, evaluate.dot(["a", "b"], w, bias))
     assert {r["rank"] for r in ranks.collect()} == {1}

@@ -1,6 +1,7 @@
 """Extraction, resolution on real snippets, storage, upkeep."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from tracegraph.api import FAILURE_SCHEMA
 from tracegraph.sources import extraction, files, store
 from tracegraph.sources.python_source import python_facts
 from tracegraph.sources.typescript_source import typescript_facts
-from tracegraph.streaming.changes import GraphUpkeep, burst_files, burst_stream
+from tracegraph.functions.runtime_names import runtime_names
+from tracegraph.operators import scope
+from tracegraph.operators.graph import Graph
+from tracegraph.streaming.changes import GraphUpkeep, burst_files, burst_stream, change_events, follow
 
 SOURCES = {
     "web/a.ts": 'export function foo(x: number): number {\n  return x;\n}\nexport class Greeter {\n  greet() { return "hi"; }\n}\n',
@@ -207,3 +211,89 @@ def test_debounced_stream_groups_bursts(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(ms(0), "a"), (ms(0), "b"), (ms(1000), "c")}
+
+
+def test_deep_trees_and_links_back(spark, tmp_path):
+    deep = tmp_path
+    for k in range(70):
+        deep = deep / f"d{k}"
+    deep.mkdir(parents=True)
+    (deep / "last.py").write_text("x = 1\n")
+    (tmp_path / "d0" / "up").symlink_to(tmp_path)
+    found = [r.path for r in files.list_tree(spark, str(tmp_path)).collect()]
+    assert found == ["/".join(f"d{k}" for k in range(70)) + "/last.py"]
+
+
+def test_unreadable_files_keep_a_row(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"def f():\n    return '\xff'\n")
+    (tmp_path / "b.py").write_text("def g():\n    return 1\n")
+    rows = {r.path: r for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert rows["a.py"].content is None and rows["b.py"].content
+    tables = extraction.graph_tables(files.read_tree(spark, str(tmp_path)).select("path", "content"))
+    assert {r.path: r.language for r in tables["files"].collect()} == {"a.py": "unparsed", "b.py": "python"}
+
+
+def test_a_bad_statement_costs_only_itself():
+    facts = python_facts("import os\n\ndef one():\n    helper()\n\nprint 1\n\n@wrap\ndef two(a):\n    return one()\n")
+    assert [(s["name"], s["start_line"]) for s in facts.symbols if s["kind"] == "function"] == [("one", 3), ("two", 9)]
+    assert {"helper", "one"} <= {e["to_name"] for e in facts.edges}
+
+
+def test_broken_snippets_do_not_end_the_job(spark):
+    broken = {"a.ts": "const f = function(a", "b.ts": "const f = function", "c.ts": "class A { x(", "d.ts": "function ok() { go(); }"}
+    rows = extraction.facts(spark.createDataFrame(list(broken.items()), "path string, content string")).collect()
+    assert {r.path for r in rows} == set(broken) and [s.name for r in rows if r.path == "d.ts" for s in r.symbols] == ["ok"]
+
+    def fails(source):
+        raise KeyError(source)
+
+    extraction.register("rust", fails)
+    try:
+        row = extraction.facts(spark.createDataFrame([("a.rs", "fn")], "path string, content string")).first()
+        assert row.language != "rust" or "KeyError" in row.error
+    finally:
+        del extraction.EXTRACTORS["rust"]
+
+
+def test_a_large_file_takes_linear_time():
+    text = "export function foo(a, b) {\n  const x = bar(a);\n  for (const v of b) { go(v.y); }\n  return x;\n}\n" * 21000
+    start = time.time()
+    facts = typescript_facts(text)
+    assert len(facts.edges) == 42000 and facts.edges[-1]["call_line"] == 5 * 20999 + 3
+    assert time.time() - start < 30
+
+
+def test_an_emptied_table_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "a", "m", "a", "named")], "id long, file_id long, local_name string, source_module string, source_name string, kind string")
+    for repo in ("r/1", "r2"):
+        store.save_graph({"imports": rows}, str(tmp_path), repo)
+    store.save_graph({"imports": rows.limit(0)}, str(tmp_path), "r/1")
+    assert store.load_table(spark, str(tmp_path), "imports", "r/1").count() == 0
+    assert store.load_table(spark, str(tmp_path), "imports", "r2").count() == 1
+
+
+def test_seeds_stay_beyond_the_budget(spark):
+    paths_ = [(k, f"f{k}.py", 10) for k in range(6)]
+    graph = Graph(files=spark.createDataFrame(paths_, "id long, path string, loc int"))
+    seeds = spark.createDataFrame([("x", k, k + 1) for k in range(4)], "failure_id string, file_id long, seed_ord long")
+    imports = spark.createDataFrame([(0, 4, 0), (1, 5, 0)], "from_file long, to_file long, spec_pos int")
+    out = {r.file_id for r in scope.resolve_scope(graph, seeds, imports, max_files=2).collect()}
+    assert out == {0, 1, 2, 3}
+    assert {r.file_id for r in scope.resolve_scope(graph, seeds, imports, max_files=5).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_late_events_reach_the_upkeep(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    seen = []
+    for name, when in (("1.json", "2024-01-02T00:00:00Z"), ("2.json", "2023-01-01T00:00:00Z")):
+        (tmp_path / "in" / name).write_text(f'{{"repo": "r", "path": "{name}.py", "action": "change", "ts": "{when}", "event_id": 1}}\n')
+        query = follow(change_events(spark, str(tmp_path / "in")), lambda batch, epoch: seen.extend(r.path for r in batch.collect()), str(tmp_path / "state"), once=True)
+        query.awaitTermination(120)
+    assert seen == ["1.json.py", "2.json.py"]
+
+
+def test_runtime_names():
+    known = set(runtime_names())
+    assert {"query", "first", "merge", "findOne", "aggregate", "prepare", "spawn", "createReadStream", "unlinkSync", "len", "useState", "HTTPException"} <= known
+    assert not {"normalize_key", "handleRequest", "ingest", "computeTotals", "UserService", "fetchUser", "processOrder"} & known
+    assert len(known) > 800

@@ -33,23 +33,3 @@ SIGNAL_MAX = {
 
 # Estimated bytes per source line.
 BYTES_PER_LINE = 30
-
-# Global names and methods of the JavaScript runtime that never
-# point at application code. The Python side is derived from the interpreter
-# (see functions.runtime_names).
-JAVASCRIPT_NAMES = (
-    "Array Object Number String Boolean Date Math JSON console Promise Symbol Error TypeError RangeError "
-    "Map Set WeakMap WeakSet Proxy Reflect BigInt RegExp ArrayBuffer DataView setTimeout setInterval "
-    "clearTimeout clearInterval setImmediate queueMicrotask structuredClone parseInt parseFloat isNaN "
-    "isFinite encodeURIComponent decodeURIComponent encodeURI decodeURI forEach push pop shift unshift "
-    "slice splice concat indexOf lastIndexOf includes find findIndex findLast filter reduce reduceRight "
-    "some every sort reverse fill flat flatMap entries at isArray of from substring substr charAt "
-    "charCodeAt codePointAt matchAll replaceAll padStart padEnd repeat normalize trim trimStart trimEnd "
-    "toLowerCase toUpperCase startsWith endsWith toFixed fromEntries assign freeze create defineProperty "
-    "getPrototypeOf setPrototypeOf length toString valueOf hasOwnProperty bind apply call has delete size "
-    "then catch finally resolve reject race allSettled warn trace table assert existsSync readFileSync "
-    "writeFileSync statSync mkdirSync rmSync readdirSync realpathSync readFile writeFile spawnSync "
-    "execSync cwd fetch isDirectory isFile useState useEffect useRef useMemo useCallback useContext "
-    "useReducer relative parse appendChild createElement addEventListener removeEventListener "
-    "querySelector querySelectorAll getElementById setAttribute getAttribute stringify"
-).split()

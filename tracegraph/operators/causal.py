@@ -11,7 +11,7 @@ from tracegraph.operators import history
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.impact import unresolved_targets
 from tracegraph.operators.lookup import first_definitions
-from tracegraph.operators.shared import first_per_key, materialise, sized_join, top_k
+from tracegraph.operators.shared import first_per_key, materialise, top_k
 from tracegraph.operators.traverse import callees_of, callers_of, hops_to
 
 WINDOW_DAYS = 90
@@ -123,7 +123,7 @@ def dataflow_hops(graph: Graph, candidates: DataFrame) -> DataFrame:
         .select("seed_id", "name")
     )
     source_nodes, n = materialise(sources.join(ids, "name"))
-    found = sized_join(hops, source_nodes, n, ["seed_id", "node_id"])
+    found = hops.join(source_nodes, ["seed_id", "node_id"])
     return found.groupBy("seed_id", "name").agg(F.min(F.struct("hops", "arg_hops")).alias("h")).select("seed_id", "name", F.col("h.arg_hops").alias("arg_hops"))
 
 

@@ -64,56 +64,29 @@ def pearson(rows: DataFrame, columns: list[str] = SIGNAL_COLUMNS, label: str = "
 
 
 def in_training(entry: Column, share: float = 0.8, seed: int = 42) -> Column:
-    """Stable entry-level split by hash."""
-    return F.pmod(F.xxhash64(entry, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    """Stable entry-level split by a hash that every engine has."""
+    digest = F.md5(F.concat_ws(":", entry.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 < int(share * 1000)
 
 
-def fit_weights(rows: DataFrame, columns: list[str] = SIGNAL_COLUMNS, lr: float = 0.05, max_iter: int = 2000, tol: float = 1e-5):
-    """Logistic regression by batch gradient descent from unit weights; returns (weights, bias, iterations).
+def fit_weights(rows: DataFrame, columns: list[str] = SIGNAL_COLUMNS, max_iter: int = 200, tol: float = 1e-6, penalty: float = 1e-4):
+    """Logistic regression of the label on the signals; returns (weights, bias, iterations).
 
-    Rows with equal signals and label are counted once with a multiplicity, so
-    an iteration runs over the distinct signal combinations only; signals are
-    bucketed, which keeps that table small however many rows there are. The
-    gradient of an iteration is one aggregate.
+    Every iteration is an aggregate over all rows, whatever their number. A small
+    ``penalty`` keeps the weights finite where the signals separate the labels.
     """
-    from tracegraph.operators.shared import materialise
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
 
     typed = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col("label").cast("double").alias("label"))
-    grouped, n_distinct = materialise(typed.groupBy(*columns, "label").agg(F.count(F.lit(1)).alias("m")))
-    weights, bias = [1.0] * len(columns), 0.0
-    if n_distinct == 0:
-        return weights, bias, 0
-    if n_distinct <= 100_000:
-        return _descend_small(grouped.toPandas(), columns, lr, max_iter, tol)
-    for it in range(max_iter):
-        z = F.lit(bias)
-        for w, c in zip(weights, columns):
-            z = z + F.lit(w) * F.col(c)
-        err = (signals.sigmoid(z) - F.col("label")) * F.col("m")
-        total = F.sum("m")
-        grad = grouped.agg(*[(F.sum(err * F.col(c)) / total) for c in columns], (F.sum(err) / total)).first()
-        weights = [w - lr * g for w, g in zip(weights, grad[:-1])]
-        bias -= lr * grad[-1]
-        if sum(abs(g) for g in grad) < tol:
-            break
-    return weights, bias, it + 1
-
-
-def _descend_small(pdf, columns, lr, max_iter, tol):
-    """The same descent over a pre-counted table of checked size."""
-    import numpy as np
-
-    x, y, m = pdf[columns].to_numpy(float), pdf["label"].to_numpy(float), pdf["m"].to_numpy(float)
-    w, b, n = np.ones(len(columns)), 0.0, m.sum()
-    for it in range(max_iter):
-        z = x @ w + b
-        p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
-        err = (p - y) * m
-        gw, gb = x.T @ err / n, err.sum() / n
-        w, b = w - lr * gw, b - lr * gb
-        if abs(gb) + np.abs(gw).sum() < tol:
-            break
-    return [float(v) for v in w], float(b), it + 1
+    counted = typed.groupBy(*columns, "label").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    counted = VectorAssembler(inputCols=columns, outputCol="signals").transform(counted)
+    if counted.isEmpty():
+        return [1.0] * len(columns), 0.0, 0
+    model = LogisticRegression(
+        featuresCol="signals", weightCol="m", family="binomial", standardization=False, regParam=penalty, maxIter=max_iter, tol=tol
+    ).fit(counted)
+    return [float(w) for w in model.coefficients], float(model.intercept), int(model.summary.totalIterations)
 
 
 def clip(weights: list[float]) -> list[float]:

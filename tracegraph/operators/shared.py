@@ -57,25 +57,14 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-# A materialised frame of at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 300_000
-
-
 def materialise(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write a frame to the checkpoint folder and count it."""
-    kept = cut_lineage(df)
-    return kept, kept.count()
+    """Write a frame to the checkpoint folder and count it.
 
-
-def sized_join(many: DataFrame, few: DataFrame, n_few: int, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join with a frame of known row count: broadcast while it is small, salted beyond.
-
-    The broadcast keeps ``many`` unshuffled, which is what makes a walk from a
-    few seeds over a very large edge table cheap.
+    Joined later, it is broadcast if its bytes are below Spark's threshold, and shuffled
+    with hot keys split by adaptive execution beyond.
     """
-    if n_few <= BROADCAST_ROWS:
-        return many.join(F.broadcast(few), keys, how)
-    return salted_join(many, few, keys, how)
+    kept = cut_lineage(df)
+    return kept, kept.count()
 
 
 # Needle lengths and the gram that indexes them; a needle is found through its
@@ -104,7 +93,7 @@ def substring_join(needles: DataFrame, needle: str, hay: DataFrame, hay_id: str,
         # A look-ahead yields the gram at every position in one scan of the text.
         every_gram = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
         grams = source.select("_hay", F.explode(F.array_distinct(every_gram)).alias("_gram"))
-        parts.append(sized_join(grams, wanted, count, ["_gram"]).select("_hay", "_needle"))
+        parts.append(grams.join(wanted, ["_gram"]).select("_hay", "_needle"))
     candidates = parts[0]
     for part in parts[1:]:
         candidates = candidates.unionByName(part)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.operators.graph import Graph, symbols_with_path
-from tracegraph.operators.shared import first_per_key, materialise, sized_join
+from tracegraph.operators.shared import first_per_key, materialise
 from tracegraph.session import cut_lineage
 
 
@@ -40,20 +40,17 @@ def seed_nodes(graph: Graph, seeds: DataFrame) -> DataFrame:
 def reach(start: DataFrame, adjacency: DataFrame, levels: int) -> tuple[DataFrame, int]:
     """(seed_id, node_id, depth) of nodes within ``levels`` hops, and its row count.
 
-    ``adjacency(node_id, next_id)``.
+    ``adjacency(node_id, next_id)``. What was reached is only added to: a level writes
+    its new nodes and nothing else.
     """
-    visited, total = materialise(start.select("seed_id", "node_id", F.lit(0).alias("depth")).distinct())
-    fresh = total
+    frontier, fresh = materialise(start.select("seed_id", "node_id", F.lit(0).alias("depth")).distinct())
+    visited, total = frontier, fresh
     for level in range(1, levels + 1):
-        frontier = visited.filter(F.col("depth") == level - 1).select("seed_id", "node_id")
-        step = sized_join(adjacency, frontier, fresh, ["node_id"]).select(
-            "seed_id", F.col("next_id").alias("node_id"), F.lit(level).alias("depth")
-        )
-        merged = visited.unionByName(step).groupBy("seed_id", "node_id").agg(F.min("depth").alias("depth"))
-        visited, now = materialise(merged)
-        fresh, total = now - total, now
+        step = adjacency.join(frontier.select("seed_id", "node_id"), ["node_id"]).select("seed_id", F.col("next_id").alias("node_id"), F.lit(level).alias("depth"))
+        frontier, fresh = materialise(step.distinct().join(visited, ["seed_id", "node_id"], "left_anti"))
         if fresh == 0:
             break
+        visited, total = visited.unionByName(frontier), total + fresh
     return visited, total
 
 
@@ -69,10 +66,7 @@ def callers_of(graph: Graph, seeds, depth: int = 2, min_confidence: float = 0.5)
     calls = call_edges(graph, min_confidence).filter(F.col("to_symbol_id").isNotNull())
     adjacency = calls.select(F.col("to_symbol_id").alias("node_id"), F.col("from_symbol_id").alias("next_id"))
     reached, n_reached = reach(seed_nodes(graph, seeds), adjacency, depth - 1)
-    hits = sized_join(
-        calls.select(F.col("to_symbol_id").alias("node_id"), "from_symbol_id", "call_line", "confidence"),
-        reached, n_reached, ["node_id"],
-    )
+    hits = calls.select(F.col("to_symbol_id").alias("node_id"), "from_symbol_id", "call_line", "confidence").join(reached, ["node_id"])
     where = symbols_with_path(graph).select(F.col("id"), F.col("name"), F.col("path").alias("file"))
     caller = where.withColumnRenamed("id", "from_symbol_id")
     parent = where.select(
@@ -85,8 +79,8 @@ def callers_of(graph: Graph, seeds, depth: int = 2, min_confidence: float = 0.5)
     best, n_best = materialise(
         first_per_key(slim.withColumn("_c", -F.col("confidence")), ["seed_id", "from_symbol_id"], ["depth", "_c", "line", "node_id"])
     )
-    callers = sized_join(caller, best, n_best, ["from_symbol_id"])
-    parents = sized_join(parent, reached.select("node_id").distinct(), n_reached, ["node_id"])
+    callers = caller.join(best, ["from_symbol_id"])
+    parents = parent.join(reached.select("node_id").distinct(), ["node_id"])
     named = callers.join(parents, "node_id")
     keyed = named.select(
         "seed_id", "file", "name", "depth", "_c", "line", "confidence", "parent_file", "parent_name", "from_symbol_id", "node_id"
@@ -106,14 +100,9 @@ def callees_of(graph: Graph, seeds, depth: int = 1) -> DataFrame:
         F.col("from_symbol_id").alias("node_id"), F.col("to_symbol_id").alias("next_id")
     )
     reached, n_reached = reach(start, adjacency, depth - 1)
-    hits = sized_join(
-        calls.select(
+    hits = calls.select(
             F.col("from_symbol_id").alias("node_id"), "to_symbol_id", "to_name", "confidence", "call_line", "resolution_kind"
-        ),
-        reached,
-        n_reached,
-        ["node_id"],
-    )
+        ).join(reached, ["node_id"])
     files = symbols_with_path(graph).select(F.col("id").alias("to_symbol_id"), F.col("path").alias("file"))
     slim = hits.select(
         "seed_id", "to_symbol_id", "to_name", (F.col("depth") + 1).alias("depth"), (-F.col("confidence")).alias("_c"),
@@ -125,7 +114,7 @@ def callees_of(graph: Graph, seeds, depth: int = 1) -> DataFrame:
         )
     )
     # NULL targets have no partner: join only the resolved part, keep the rest.
-    resolved = sized_join(files, best.filter(F.col("to_symbol_id").isNotNull()), n_best, ["to_symbol_id"])
+    resolved = files.join(best.filter(F.col("to_symbol_id").isNotNull()), ["to_symbol_id"])
     open_ = best.filter(F.col("to_symbol_id").isNull()).withColumn("file", F.lit(None).cast("string"))
     keyed = resolved.unionByName(open_)
     parent = symbols_with_path(graph).select(
@@ -136,7 +125,7 @@ def callees_of(graph: Graph, seeds, depth: int = 1) -> DataFrame:
         ["seed_id", "file", "to_name"],
         ["depth", "_c", "line", F.coalesce("resolution_kind", F.lit("")), F.coalesce("to_symbol_id", F.lit(-1)), "node_id"],
     )
-    parents = sized_join(parent, reached.select("node_id").distinct(), n_reached, ["node_id"])
+    parents = parent.join(reached.select("node_id").distinct(), ["node_id"])
     return rows.join(parents, "node_id").select(
         "seed_id", F.col("to_name").alias("name"), "file", "line", "confidence", "depth",
         F.col("to_symbol_id").isNotNull().alias("resolved"), "resolution_kind", "parent_file", "parent_name",
@@ -169,20 +158,19 @@ def hops_to(graph: Graph, targets: DataFrame, max_depth: int) -> DataFrame:
     argument hops counts.
     """
     flow = cut_lineage(flow_edges(graph).select(F.col("dst").alias("node_id"), F.col("src").alias("next_id"), "is_arg"))
-    state, total = materialise(targets.select("seed_id", "node_id", F.lit(0).alias("hops"), F.lit(0).alias("arg_hops")).distinct())
-    fresh = total
+    frontier, fresh = materialise(targets.select("seed_id", "node_id", F.lit(0).alias("hops"), F.lit(0).alias("arg_hops")).distinct())
+    state = frontier
     for level in range(1, max_depth + 1):
-        frontier = state.filter(F.col("hops") == level - 1).select("seed_id", "node_id", "arg_hops")
         step = (
-            sized_join(flow, frontier, fresh, ["node_id"])
+            flow.join(frontier.select("seed_id", "node_id", "arg_hops"), ["node_id"])
             .groupBy("seed_id", F.col("next_id").alias("node_id"))
             .agg(F.min(F.col("arg_hops") + F.col("is_arg")).alias("arg_hops"))
             .select("seed_id", "node_id", F.lit(level).alias("hops"), "arg_hops")
         )
-        state, now = materialise(first_per_key(state.unionByName(step), ["seed_id", "node_id"], ["hops", "arg_hops"]))
-        fresh, total = now - total, now
+        frontier, fresh = materialise(step.join(state, ["seed_id", "node_id"], "left_anti"))
         if fresh == 0:
             break
+        state = state.unionByName(frontier)
     return state
 
 
@@ -205,22 +193,20 @@ def path_between(graph: Graph, pairs: DataFrame, max_depth: int = 5) -> DataFram
             none.cast("int").alias("line"),
         )
     )
-    total = fresh = state.count()
+    latest = state
     found = cut_lineage(state.join(goals, ["pair_id", "node_id"]).drop("is_goal"))
     for level in range(1, max_depth + 1):
-        open_pairs = state.filter(F.col("depth") == level - 1).join(found.select("pair_id").distinct(), "pair_id", "left_anti")
+        open_pairs = latest.join(found.select("pair_id").distinct(), "pair_id", "left_anti")
         frontier = open_pairs.select("pair_id", "node_id")
-        step = sized_join(flow, frontier, fresh, ["node_id"]).select(
+        step = flow.join(frontier, ["node_id"]).select(
             "pair_id", F.col("next_id").alias("node_id"), F.lit(level).alias("depth"), F.col("node_id").alias("parent_id"), "is_arg", "line"
         )
-        state, now = materialise(
-            first_per_key(state.unionByName(step), ["pair_id", "node_id"],
-                          ["depth", F.coalesce("is_arg", F.lit(0)), F.coalesce("parent_id", F.lit(-1))])
-        )
-        fresh, total = now - total, now
+        unseen = step.join(state, ["pair_id", "node_id"], "left_anti")
+        latest, fresh = materialise(first_per_key(unseen, ["pair_id", "node_id"], ["depth", F.coalesce("is_arg", F.lit(0)), F.coalesce("parent_id", F.lit(-1))]))
         if fresh == 0:
             break
-        reached_goal = state.filter(F.col("depth") == level).join(goals, ["pair_id", "node_id"]).drop("is_goal")
+        state = state.unionByName(latest)
+        reached_goal = latest.join(goals, ["pair_id", "node_id"]).drop("is_goal")
         found = cut_lineage(found.unionByName(reached_goal))
     goal = first_per_key(found, ["pair_id"], ["depth", F.coalesce("is_arg", F.lit(0)), F.coalesce("parent_id", F.lit(-1)), "node_id"])
     steps = goal.select("pair_id", "node_id", "depth", "parent_id", "is_arg", "line")

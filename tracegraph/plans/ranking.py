@@ -392,20 +392,15 @@ def u04(g):
 LATEST_PR_SQL = "SELECT p.* FROM patches p JOIN commits c ON c.commit_id = p.pr_id WHERE c.date = (SELECT max(o_orderdate) FROM orders)"
 
 
-def _latest_patches(g):
-    newest = g.commits.filter(F.col("date") == g.as_of).select(F.col("commit_id").alias("pr_id"))
-    return g.patches.join(newest, "pr_id", "left_semi")
-
-
 @query("g25_review_top_symbols")
 def g25(g):
-    out = review.review(g, _latest_patches(g))["top_symbols"]
+    out = review.review(g, g.patches)["top_symbols"]
     return out.select("pr_id", "rank", "name", "file", F.round("score", 6).alias("score"), "rationale")
 
 
 @query("g25_review_affected")
 def g25_affected(g):
-    return review.review(g, _latest_patches(g))["affected"]
+    return review.review(g, g.patches)["affected"]
 
 
 @query("l09_recent_activity", f"""
@@ -513,7 +508,10 @@ def v03(g):
     return g.spark.createDataFrame(out, "signal string, raw double, clipped double")
 
 
-@query("v04_holdout_split")
+@query("v04_holdout_split", """
+    SELECT CASE WHEN CAST('0x' || substr(md5(entry_id || ':42'), 1, 8) AS BIGINT) % 1000 < 800 THEN 'train' ELSE 'holdout' END AS side,
+        count(DISTINCT entry_id) AS entries, count(*) FILTER (candidate_rank > 1) AS rows
+    FROM signal_rows GROUP BY 1""")
 def v04(g):
     side = F.when(evaluate.in_training(F.col("entry_id")), "train").otherwise("holdout")
     return g.signal_rows.groupBy(side.alias("side")).agg(F.count_distinct("entry_id").alias("entries"), F.count_if(F.col("candidate_rank") > 1).alias("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +67,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a level of an iterative job in the shared checkpoint folder.
+    """Materialise a level of an iterative job as a Parquet table in the shared checkpoint folder.
 
-    Reliable checkpoints outlive the executors that wrote them, so a lost
-    executor repeats one level at most.
+    The files outlive the executors that wrote them, so a lost executor repeats one
+    level at most; later steps read only the columns they need, and Spark knows the
+    size, by which it decides whether to broadcast. ``clear_scratch`` deletes them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tracegraph-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

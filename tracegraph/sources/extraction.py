@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracegraph.functions import text as tx
 from tracegraph.functions.paths import dirname, language_of, prefixes
 from tracegraph.operators.shared import first_per_key
+from tracegraph.sources.files import READ_BYTES
 from tracegraph.sources.python_source import python_facts
 from tracegraph.sources.typescript_source import typescript_facts
 
@@ -30,7 +31,7 @@ FACTS_SCHEMA = """
     edges array<struct<from_idx:int,to_name:string,kind:string,call_line:int,line_text:string,
         args:array<struct<position:int,source_kind:string,source_text:string>>>>,
     imports array<struct<local_name:string,source_module:string,source_name:string,kind:string>>,
-    params array<struct<owner_idx:int,position:int,name:string,type_text:string,has_default:boolean>>"""
+    params array<struct<owner_idx:int,position:int,name:string,type_text:string,has_default:boolean>>, error string"""
 
 
 def register(language: str, extractor: Callable) -> None:
@@ -39,20 +40,33 @@ def register(language: str, extractor: Callable) -> None:
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """One nested row per file ``sources(path, content)``; unknown languages keep an empty row."""
+    """One nested row per file ``sources(path, content)``; unknown languages keep an empty row.
+
+    A file without content has the language ``unparsed``; one whose extraction fails keeps
+    an empty row that says why in ``error``.
+    """
     extractors = dict(EXTRACTORS)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         empty = dict(symbols=[], edges=[], imports=[], params=[])
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for path, language, content in zip(batch["path"], batch["language"], batch["content"]):
-                found = extractors[language](content) if language in extractors and content else None
+                found, error = None, None
+                try:
+                    found = extractors[language](content) if language in extractors and content else None
+                except Exception as failure:  # noqa: BLE001 - one file must not end the job
+                    error = f"{type(failure).__name__}: {failure}"[:200]
                 part = {k: getattr(found, k) for k in empty} if found else empty
-                rows.append(dict(path=path, language=language, content=content, **part))
-            yield pd.DataFrame(rows, columns=["path", "language", "content", *empty])
-
-    rows = sources.select("path", language_of(F.col("path")).alias("language"), F.coalesce("content", F.lit("")).alias("content"))
+                rows.append(dict(path=path, language=language, content=content, error=error, **part))
+                size += len(content)
+                if size > READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
+
+    known = F.when(F.col("content").isNull(), F.lit("unparsed")).otherwise(language_of(F.col("path")))
+    rows = sources.select("path", known.alias("language"), F.coalesce("content", F.lit("")).alias("content"))
     return rows.mapInPandas(read, FACTS_SCHEMA)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
@@ -49,7 +50,6 @@ def scan_listing(listing: DataFrame, scope: list[str] | None = None, max_files:
     return kept.orderBy("path").limit(max_files) if max_files is not None else kept
 
 
-MAX_DEPTH = 64
 ENTRY_SCHEMA = "path string, is_dir boolean, n_bytes long"
 
 
@@ -57,32 +57,44 @@ def list_tree(spark: SparkSession, root: str, gitignore: list[str] = ()) -> Data
     """(path, n_bytes) of every file below ``root``, listed one directory level per job.
 
     The built-in file sources hide names that start with '.' or '_', which
-    would lose package markers. Ignored directories are not entered. ``root``
-    is a path or URI every executor can reach.
+    would lose package markers. Ignored directories are not entered, and neither
+    are links that lead back to a directory above them. ``root`` is a path or URI
+    every executor can reach.
     """
     from tracegraph.session import cut_lineage
 
     def list_dirs(batches):
         fs, base = _filesystem(root)
+        local = isinstance(fs, pafs.LocalFileSystem)
         for batch in batches:
             rows = []
             for directory in batch["path"]:
                 prefix = directory + "/" if directory else ""
                 for info in fs.get_file_info(pafs.FileSelector(f"{base}/{directory}".rstrip("/"), allow_not_found=True)):
-                    rows.append((prefix + info.base_name, info.type == pafs.FileType.Directory, info.size or 0))
+                    is_dir = info.type == pafs.FileType.Directory
+                    if is_dir and local and _leads_back(f"{base}/{prefix}{info.base_name}"):
+                        continue
+                    rows.append((prefix + info.base_name, is_dir, info.size or 0))
             yield pd.DataFrame(rows, columns=["path", "is_dir", "n_bytes"])
 
     files = None
     level = spark.createDataFrame([("",)], "path string")
-    for _ in range(MAX_DEPTH):
+    while True:
         entries = cut_lineage(level.repartition("path").mapInPandas(list_dirs, ENTRY_SCHEMA))
         here = entries.filter(~F.col("is_dir")).select("path", "n_bytes")
         files = here if files is None else files.unionByName(here)
         slashed = F.concat(F.col("path"), F.lit("/x"))
         level = entries.filter(F.col("is_dir") & ~paths.in_ignored_dir(slashed) & ~ignored(F.concat("path", F.lit("/")), list(gitignore))).select("path")
         if level.isEmpty():
-            break
-    return files
+            return files
+
+
+def _leads_back(path: str) -> bool:
+    """Whether a directory is a link to one above itself, which would never end."""
+    if not os.path.islink(path):
+        return False
+    above, target = os.path.realpath(os.path.dirname(path)), os.path.realpath(path)
+    return above == target or above.startswith(target.rstrip("/") + "/")
 
 
 def _filesystem(root: str):
@@ -92,19 +104,31 @@ def _filesystem(root: str):
     return pafs.LocalFileSystem(), root.rstrip("/")
 
 
+READ_BYTES = 16 << 20
+
+
 def read_files(listing: DataFrame, root: str) -> DataFrame:
-    """``listing(path, language, n_bytes)`` with the content of every file; unreadable files are left out."""
+    """``listing(path, language, n_bytes)`` with the content of every file.
+
+    A file that cannot be read, or is not UTF-8, stays as a row without content. Rows are
+    handed on after every ``READ_BYTES``, however large a batch of paths is.
+    """
 
     def read(batches):
         fs, base = _filesystem(root)
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for path, language, n_bytes in zip(batch["path"], batch["language"], batch["n_bytes"]):
                 try:
                     with fs.open_input_stream(f"{base}/{path}") as stream:
-                        rows.append((path, language, stream.read().decode("utf-8", errors="replace"), n_bytes))
-                except OSError:
-                    continue
+                        content = stream.read().decode("utf-8")
+                except (OSError, UnicodeDecodeError):
+                    content = None
+                rows.append((path, language, content, n_bytes))
+                size += n_bytes
+                if size > READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "language", "content", "n_bytes"])
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=["path", "language", "content", "n_bytes"])
 
     return listing.select("path", "language", "n_bytes").mapInPandas(read, "path string, language string, content string, n_bytes long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -174,10 +175,22 @@ class Facts(ast.NodeVisitor):
 
 
 def python_facts(source: str) -> Facts:
-    """Facts of a file; a file that does not parse has none."""
+    """Facts of a file. Where it does not parse as a whole, of the top-level statements that do."""
     facts = Facts(source)
     try:
         facts.visit(ast.parse(source))
+        return facts
     except (SyntaxError, ValueError, RecursionError):
-        return Facts(source)
+        facts = Facts(source)
+    lines = source.split("\n")
+    # A line that begins in the first column opens a statement, unless it only closes or continues one.
+    heads = [i for i, line in enumerate(lines) if line[:1].strip() and not re.match(r"[)\]}#]|(else|elif|except|finally)\b", line)]
+    heads = [h for k, h in enumerate(heads) if k == 0 or not lines[heads[k - 1]].startswith("@") or heads[k - 1] + 1 != h]
+    for start, stop in zip(heads, [*heads[1:], len(lines)]):
+        try:
+            block = ast.parse("\n".join(lines[start:stop]))
+            ast.increment_lineno(block, start)
+            facts.visit(block)
+        except (SyntaxError, ValueError, RecursionError):
+            continue
     return facts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +12,14 @@ TABLES = ["files", "symbols", "edges", "imports", "params", "arg_bindings", "fil
 
 
 def save_graph(tables: dict[str, DataFrame], root: str, repo_id: str) -> None:
-    """Replace one repository's tables; other repositories stay untouched."""
+    """Replace one repository's tables; other repositories stay untouched.
+
+    A repository is one folder of each table and is overwritten as such, so a table
+    without rows leaves none behind.
+    """
     for name, df in tables.items():
-        (
-            df.withColumn("repo_id", F.lit(repo_id))
-            .withColumn("schema_version", F.lit(SCHEMA_VERSION))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("repo_id")
-            .parquet(f"{root}/{name}")
-        )
+        folder = f"{root}/{name}/repo_id={quote(repo_id, safe='')}"
+        df.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(folder)
 
 
 def load_table(spark: SparkSession, root: str, name: str, repo_id: str | None = None) -> DataFrame:

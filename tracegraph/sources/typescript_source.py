@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from types import SimpleNamespace
 
 ID = r"[A-Za-z_$][\w$]*"
@@ -64,6 +65,10 @@ def argument_kind(s: str) -> str:
     return "other"
 
 
+CONTINUES = re.compile(r"\s*[.,?:+\-*/&|=]")
+FOR_HEAD = re.compile(r"\bfor\s*(?:await\s*)?\($")
+
+
 def binding_names(pattern: str) -> list[str]:
     """Names bound by an identifier, object or array pattern."""
     pattern = pattern.strip()
@@ -89,10 +94,11 @@ def typescript_facts(source: str) -> SimpleNamespace:
     ranges: list[tuple[int, int, int]] = []           # (start, end, symbol) that may own calls
     bodies: list[tuple[int, int, str | None]] = []    # function bodies with their name
     declared: set[int] = set()                        # positions of names that are declarations, not calls
-    line_of = lambda pos: source.count("\n", 0, pos) + 1
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda pos: bisect_left(breaks, pos) + 1
 
     def add(name, kind, start, end, exported=False, parent=None, type_text=None, end_line=None):
-        first = source[start:].split("\n", 1)[0].strip()[:200]
+        first = lines[line_of(start) - 1][start - (breaks[line_of(start) - 2] + 1 if line_of(start) > 1 else 0) :].strip()[:200]
         out.symbols.append(
             dict(idx=len(out.symbols), name=name, kind=kind, parent_idx=parent, start_line=line_of(start), end_line=end_line or line_of(end),
                  signature=first, exported=exported, type_text=type_text)
@@ -109,6 +115,8 @@ def typescript_facts(source: str) -> SimpleNamespace:
         return (start, close[start]) if start in close else None
 
     def add_params(open_paren: int, owner: int):
+        if open_paren not in close:
+            return
         for position, (a, b) in enumerate(split_top(text, open_paren + 1, close[open_paren], close)):
             raw = re.sub(r"^\s*(?:(?:public|private|protected|readonly)\s+)*", "", source[a:b]).strip()
             m = re.match(rf"^(\.\.\.)?({ID}|\{{.*?\}}|\[.*?\])(\?)?\s*(?::\s*([^=]+?(?:=>[^=]+)?))?\s*(=(?!>).*)?$", raw, re.S)
@@ -177,6 +185,8 @@ def typescript_facts(source: str) -> SimpleNamespace:
         add(m.group(3), m.group(2), m.start() + len(m.group(1) or ""), min(end, len(text) - 1), bool(m.group(1)))
     for m in ARROW_CONST.finditer(text):
         rest = re.compile(rf"(?:async\s+)?(?:(function\b[^(]*)?\(|({ID})\s*=>)").match(text, m.end())
+        if not rest:
+            continue
         open_paren = rest.end() - 1 if rest.group(2) is None else None
         after = close.get(open_paren, m.end()) + 1 if open_paren is not None else rest.end()
         if open_paren is not None and rest.group(1) is None:
@@ -194,23 +204,49 @@ def typescript_facts(source: str) -> SimpleNamespace:
             add_params(open_paren, idx)
     known = {b[0] for b in bodies}
     for m in re.finditer(r"=>\s*\{", text):
-        if not any(b[0] == m.start() + 2 or b[0] == m.end() - 1 for b in bodies) and m.end() - 1 not in known:
+        if m.start() + 2 not in known and m.end() - 1 not in known:
+            known.add(m.end() - 1)
             bodies.append((m.end() - 1, close.get(m.end() - 1, len(text)), None))
 
-    def enclosing(pos, spans):
-        inside = [s for s in spans if s[0] <= pos <= s[1]]
-        return min(inside, key=lambda s: s[1] - s[0]) if inside else None
+    def nested(spans):
+        """Spans by start, and for each the one around it."""
+        order, around, open_spans = sorted(spans, key=lambda s: (s[0], -s[1])), [], []
+        for k, s in enumerate(order):
+            while open_spans and order[open_spans[-1]][1] < s[0]:
+                open_spans.pop()
+            around.append(open_spans[-1] if open_spans else None)
+            open_spans.append(k)
+        return [s[0] for s in order], order, around
+
+    def enclosing(pos, index):
+        """The smallest span around a position."""
+        starts, order, around = index
+        k, best = bisect_right(starts, pos) - 1, None
+        while k is not None and k >= 0:
+            start, end = order[k][:2]
+            if end >= pos and (best is None or end - start < best[1] - best[0]):
+                best = order[k]
+            k = around[k]
+        return best
+
+    def text_before(pos):
+        """The last characters before a position, without the white space in between."""
+        while pos and text[pos - 1].isspace():
+            pos -= 1
+        return text[max(0, pos - 300) : pos]
+
+    in_bodies, in_ranges = nested(bodies), nested(ranges)
 
     for m in DECLARATION.finditer(text):
-        body = enclosing(m.start(), bodies)
+        body = enclosing(m.start(), in_bodies)
         if body is None or body[2] is None:
             continue
         end = m.end()
-        while end < len(text) and text[end] not in ";)}" and not (text[end] == "\n" and not re.match(r"\s*[.,?:+\-*/&|=]", text[end:])):
+        while end < len(text) and text[end] not in ";)}" and not (text[end] == "\n" and not CONTINUES.match(text, end)):
             end = close[end] + 1 if text[end] in "([{" and end in close else end + 1
         for a, b in split_top(text, m.end(), end, close):
             piece = text[a:b]
-            loop = re.match(r"\s*(.+?)\s+(?:of|in)\s+", piece, re.S) if re.search(r"\bfor\s*(?:await\s*)?\($", text[:m.start()].rstrip() or "") else None
+            loop = re.match(r"\s*(.+?)\s+(?:of|in)\s+", piece, re.S) if FOR_HEAD.search(text_before(m.start())) else None
             left = loop.group(1) if loop else re.split(r"=(?![>=])", piece, maxsplit=1)[0]
             typed = re.match(rf"^\s*({ID})\s*:\s*(.+)$", left, re.S)
             names = [typed.group(1)] if typed else binding_names(left)
@@ -218,14 +254,14 @@ def typescript_facts(source: str) -> SimpleNamespace:
                 add(name, "local", m.start(), b, type_text=typed.group(2).strip()[:200] if typed else None, end_line=line_of(body[1]))
     for m in CALL.finditer(text):
         name, pos = m.group(1), m.start(1)
-        before = text[:pos].rstrip()
+        before = text_before(pos)
         if name in NOT_CALLS or pos in declared or re.search(r"\b(new|function)$", before):
             continue
         if before.endswith("."):
             receiver = re.search(rf"({ID}|\)|\])\s*\??\.$", before)
             if not receiver or receiver.group(1) in (")", "]") or (receiver.group(1) == "this" and not before[: receiver.start()].endswith(".")):
                 continue
-        owner = enclosing(pos, ranges)
+        owner = enclosing(pos, in_ranges)
         if owner is None:
             continue
         paren = m.end() - 1

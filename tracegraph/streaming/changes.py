@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegraph.operators.shared import first_per_key
@@ -50,9 +50,11 @@ def latest_actions(bursts: DataFrame) -> DataFrame:
 def burst_stream(events: DataFrame, gap: str = "150 milliseconds", lateness: str = "10 seconds") -> DataFrame:
     """Closed bursts of a change stream: (repo, session_start, session_end, n_events). ``events(repo, path, action, ts)``.
 
-    Append-mode session windows need a watermark; only events later than
-    ``lateness`` are lost. The state holds bounds and a count per open burst,
-    never its files, so a busy repository costs no more than a quiet one.
+    Append-mode session windows need a watermark, so events later than ``lateness``
+    are missing from these counts. Changed files are not found through them: ``follow``
+    hands every event to the upkeep with the micro-batch it arrives in. The state holds
+    bounds and a count per open burst, never its files, so a busy repository costs no
+    more than a quiet one.
     """
     return (
         events.withWatermark("ts", lateness)
@@ -76,6 +78,25 @@ def burst_files(bursts: DataFrame, events: DataFrame, bucket: str = BUCKET) -> D
     return tagged.join(keyed, ["repo", "_bucket"]).filter(inside).select("repo", "session_start", "path").distinct()
 
 
+EVENT_SCHEMA = "repo string, path string, action string, ts timestamp, event_id long"
+
+
+def change_events(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of change events from JSON lines that a watcher appends as files below ``path``."""
+    return spark.readStream.schema(EVENT_SCHEMA).json(path)
+
+
+def follow(events: DataFrame, upkeep, checkpoint: str, once: bool = False):
+    """Start keeping a graph in step with a change stream; returns the streaming query.
+
+    A micro-batch is a burst: its files are taken once, however many events they have.
+    Events that come late are in the batch they come with, so none is lost. ``once``
+    handles what is there and stops.
+    """
+    writer = events.writeStream.foreachBatch(upkeep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 class GraphUpkeep:
     """foreachBatch sink that keeps stored graph tables in step with changed files.
 
