@@ -128,7 +128,7 @@ def pages_to_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
         def close():
             name = f"pages-{part:06d}-{number:06d}.arc.gz"
-            content = zlib.compressobj(6, zlib.DEFLATED, 31)
+            content = zlib.compressobj(1, zlib.DEFLATED, 31)
             data = content.compress(arc_file(name, 1 + number % 2, records)) + content.flush()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], type=pa.binary())], ["archive", "content"])
 
