@@ -389,9 +389,6 @@ def u04(g):
 
 # ---- review ----------------------------------------------------------------------
 
-LATEST_PR_SQL = "SELECT p.* FROM patches p JOIN commits c ON c.commit_id = p.pr_id WHERE c.date = (SELECT max(o_orderdate) FROM orders)"
-
-
 @query("g25_review_top_symbols")
 def g25(g):
     out = review.review(g, g.patches)["top_symbols"]
