@@ -184,6 +184,24 @@ def test_drop_similar_lines(spark, empty):
     assert lines.similar_lines(empty).count() == 0
 
 
+def test_token_order_does_not_depend_on_the_number_of_lines(spark):
+    # Words that share a bucket, in which only the rest of the hash decides the order.
+    rng, buckets = random.Random(8), collections.defaultdict(list)
+    pool = [f"w{i}" for i in range(200_000)]
+    for word, h in zip(pool, words.word_hashes(" ".join(pool)).tolist()):
+        buckets[h >> (64 - lines.BUCKET_BITS)].append(word)
+    full = [b for b in buckets.values() if len(b) > 3]
+    base = [[w for b in rng.sample(full, 4) for w in b[:4]] for _ in range(150)]
+    # One word fewer and one other: 14 of 17 words are shared.
+    near = [" ".join(rng.sample([*b[:7], *b[9:], "other"], 15)) for b in base]
+    long = "\n".join([*near, *[""] * (1 << lines.LINE_BITS)])
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(1000, long)]
+    got = lines.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows) and sum(r.removed for r in got) == len(base)
+    rank = np.zeros(1 << lines.BUCKET_BITS, dtype=np.int32)
+    assert lines.token_sets([rows[0][1]], rank)[0].tolist() == lines.token_sets([rows[0][1] + "\n" * (1 << lines.LINE_BITS)], rank)[0].tolist()
+
+
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer((b"x " * 700_000) + b"some words here", dtype=np.uint8)
     hashes = words.piece_hashes(data, *words.spans(data))
