@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegraph.llm import decontaminate, exact, langid, packing, simhash
+from tracegraph.llm import decontaminate, exact, langid, lines, packing, simhash
 from tracegraph.llm.tables import saved, table
 
 
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; near copies by their words go after those by fingerprint."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if stage is near_dedup:
+            docs = saved(lines.drop_near_copies(docs), "stage-near-copies")
     return docs

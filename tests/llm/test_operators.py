@@ -202,6 +202,35 @@ def test_token_order_does_not_depend_on_the_number_of_lines(spark):
     assert lines.token_sets([rows[0][1]], rank)[0].tolist() == lines.token_sets([rows[0][1] + "\n" * (1 << lines.LINE_BITS)], rank)[0].tolist()
 
 
+def brute_copies(rows):
+    """Identifiers of documents with an earlier one of five-word Jaccard 0.8."""
+    sets = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = (t or "").lower().encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return {b for b in sets for a in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def test_drop_near_copies(spark, odd, docs, empty):
+    rng = random.Random(9)
+    rows = [(0, "one two"), (1, "One  two"), (2, None), (3, ""), (4, "one two three four five"), (5, "one two three four five six")]
+    for k in range(10):
+        base = rng.choices([f"w{i}" for i in range(500)], k=rng.randint(60, 400))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (made, odd.filter("doc_id is null or doc_id <> 5"), docs):
+        own = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        kept = lines.drop_near_copies(df)
+        gone = brute_copies(own)
+        assert kept.columns == df.columns and gone
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in own if i not in gone)
+    assert lines.drop_near_copies(empty).count() == 0
+
+
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer((b"x " * 700_000) + b"some words here", dtype=np.uint8)
     hashes = words.piece_hashes(data, *words.spans(data))

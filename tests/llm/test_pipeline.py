@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import DIRECTORY, brute_exact, brute_near
+from test_operators import DIRECTORY, brute_copies, brute_exact, brute_near
 from tools_check import rows_of
 from tracegraph.llm.queries import ORACLES, QUERIES
 from tracegraph.llm.tables import table
@@ -48,3 +48,9 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIRECTORY).count() > 100
+
+
+def test_run_leaves_no_near_copies(spark):
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, DIRECTORY).select("doc_id").distinct().collect()}
+    rows = [(r.doc_id, r.text) for r in table(spark, DIRECTORY, "documents").collect() if r.doc_id in kept]
+    assert rows and not brute_copies(rows)
