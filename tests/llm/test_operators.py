@@ -573,3 +573,19 @@ def test_query_returns_every_row(spark, key):
     else:
         assert set(got[name]) == ids
         assert key == "op7_best_fit_packing" or len(got) == len(ids)
+
+
+def test_surrogates_settle_every_value(spark):
+    blank = ["password: ________________", "Key: --------------------"]
+    mails = ["李小龙@例子公司.中国", "محمد@مثال.مصر", "ישראל@דוגמה.קום", "สมชาย@ตวอยาง.ไทย", "王明@example.com", "ł@ą.pl", "გიორგი@მაგალითი.გე"]
+    rows = list(enumerate([*blank, *(f"mail {m} now" for m in mails)]))
+    got = {r.doc_id: r for r in pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [got[k].text for k in (0, 1)] == blank and got[0].entities == 0
+    for k, mail in enumerate(mails, 2):
+        new = got[k].text.removeprefix("mail ").removesuffix(" now")
+        assert got[k].entities == 1 and mail.split("@")[0] != new.split("@")[0] and new.split(".")[-1] == mail.split(".")[-1]
+    assert all("\u4e00" <= c <= "\u9fff" for c in got[2].text.split()[1].split("@")[0])
+    # Every value of a format is taken, so no surrogate of its length is free.
+    full = [(10 * a + b, f"write {a}@{b}.de now") for a in range(10) for b in range(10)]
+    made = [r.text.split()[1] for r in pii.replace_private(spark.createDataFrame(full, "doc_id long, text string"), "k").collect()]
+    assert len(set(made)) == 100 and not set(made) & {t.split()[1] for _, t in full} and all(m.endswith(".de") for m in made)

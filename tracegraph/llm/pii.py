@@ -17,7 +17,7 @@ IBAN = r"(?=[A-Z]{2}[0-9])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7
 SSN = r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?=[+(])(?<![\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?=[+])(?<![\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?=[0-9])(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
 CARD = r"(?=[0-9])(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})(?<=(?i:token|secret|passwd|password|api_key|apikey|key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{16,}"
+SECRET = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})(?=[_/+-]*[A-Za-z0-9])(?<=(?i:token|secret|passwd|password|api_key|apikey|key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+-]{16,}"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 FEMALE_NAMES = "Anna|Maria|Julia|Laura|Emma|Sophie|Claire|Elena|Sarah|Alice|Katharina|Isabel|Carmen|Lucía|Елена|Анна|Мария|Ольга"
@@ -45,7 +45,19 @@ ALPHABETS = [
     ("[\\u0430-\\u044F]", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("[\\u0410-\\u042F]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
     ("[\\u03B1-\\u03C9]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[\\u0391-\\u03A9]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
 ]
-MAX_ATTEMPTS = 64
+# Scripts that only some texts use; whatever letter or digit none of them holds becomes a Latin letter or a digit.
+OTHER_ALPHABETS = [
+    ("(?=\\p{IsLatin})\\p{Lu}", "ĄĆĘŁŃŚŹŻČĎĚŇŘŠŤŮŽŐŰĞİŞ"), ("(?=\\p{IsLatin})\\p{L}", "ąćęłńśźżčďěňřšťůžőűğış"),
+    ("(?=\\p{IsCyrillic})\\p{Lu}", "ЁЂЃЄЅІЇЈЉЊЋЌЎЏ"), ("(?=\\p{IsCyrillic})\\p{L}", "ёђѓєѕіїјљњћќўџ"),
+    ("(?=\\p{IsGreek})\\p{Lu}", "ΆΈΉΊΌΎΏ"), ("(?=\\p{IsGreek})\\p{L}", "άέήίόύώ"),
+    ("\\p{IsHan}", "".join(chr(0x4E00 + 64 * k) for k in range(256))), ("\\p{IsHiragana}", "".join(map(chr, range(0x3042, 0x3094)))),
+    ("\\p{IsKatakana}", "".join(map(chr, range(0x30A2, 0x30F4)))), ("\\p{IsHangul}", "".join(chr(0xAC00 + 43 * k) for k in range(256))),
+    ("\\p{IsHebrew}", "".join(map(chr, range(0x05D0, 0x05EB)))), ("\\p{IsArabic}", "".join(map(chr, [*range(0x0627, 0x063B), *range(0x0641, 0x064B)]))),
+    ("\\p{IsThai}", "".join(map(chr, range(0x0E01, 0x0E2F)))), ("\\p{IsDevanagari}", "".join(map(chr, range(0x0905, 0x093A)))),
+    ("\\p{L}", "abcdefghijklmnopqrstuvwxyz"), ("\\p{N}", "0123456789"),
+]
+# A surrogate gets a character (a name a syllable) more after every so many attempts.
+ATTEMPTS_PER_LENGTH = 3
 
 
 def kind_of(found: Column) -> Column:
@@ -107,7 +119,10 @@ def _scrambled(value: Column, stream: Column, fixed: Column) -> Column:
         out = out.when(hexadecimal, F.when(F.rlike(value, F.lit("[a-f]")), F.substr(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1))).otherwise(F.substr(F.lit("0123456789ABCDEF"), b % 16 + 1, F.lit(1))))
         for pattern, letters in ALPHABETS:
             out = out.when(F.rlike(c, F.lit(pattern)), F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1)))
-        return out.otherwise(c)
+        rare = F.when(F.lit(False), c)
+        for pattern, letters in OTHER_ALPHABETS:
+            rare = rare.when(F.rlike(c, F.lit(pattern)), F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1)))
+        return out.when(F.rlike(c, F.lit("[\\p{L}\\p{N}]")), rare).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
@@ -122,8 +137,12 @@ def _with_check_digit(value: Column, digits: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: int) -> Column:
-    """The replacement of a canonical value at the given attempt."""
+    """The replacement of a canonical value at the given attempt; later attempts give longer ones, so there is always a free one."""
     stream = _stream(key, kind, value, attempt)
+    extra = attempt // ATTEMPTS_PER_LENGTH
+    more = F.sha2(F.concat_ws("|", F.lit(key), kind, value, F.lit(attempt), F.lit("more")), 256)
+    # Hexadecimal digits as letters or as digits.
+    letters, digits = (F.translate(F.substr(more, F.lit(1), F.lit(extra)), "0123456789abcdef", to) for to in ("ghijklmnopabcdef", "0123456789012345"))
     # Top-level domain, dialling code and country of a bank account are not personal.
     lead = F.when(kind == "iban", 2).when(kind == "phone", F.instr(value, " ")).otherwise(0)
     tail = F.when(kind == "email", F.length(F.substring_index(value, ".", -1))).otherwise(0)
@@ -134,10 +153,13 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: in
     for (script, who), names in GIVEN.items():
         given = given.when((cyrillic if script == "cyrillic" else ~cyrillic) & (gender == who), F.array(*[F.lit(n) for n in names]))
     parts = F.when(cyrillic, F.array(*[F.lit(s) for s in SYLLABLES["cyrillic"]])).otherwise(F.array(*[F.lit(s) for s in SYLLABLES["latin"]]))
-    family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(3), F.lit(6)), lambda i: _pick(parts, _byte(stream, i))), ""))
+    family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(3), F.lit(6 + extra)), lambda i: _pick(parts, _byte(stream, i))), ""))
     family = F.when(cyrillic, F.concat(family, F.when(gender == "f", F.lit("ова")).otherwise(F.lit("ов")))).otherwise(family)
     name = F.when(F.instr(value, " ") > 0, F.concat_ws(" ", _pick(given, _byte(stream, F.lit(1))), family)).otherwise(family)
-    return F.when(kind == "ip", octets).when(kind == "name", name).when(kind == "card", _with_check_digit(value, mixed)).otherwise(mixed)
+    out = F.when(kind == "ip", octets).when(kind == "name", name).when(kind == "card", _with_check_digit(value, mixed)).otherwise(mixed)
+    if not extra:
+        return out
+    return F.when(kind == "name", name).when(kind == "email", F.concat(letters, out)).when(kind == "secret", F.concat(out, letters)).when(kind == "ip", F.concat(out, F.lit("."), digits)).otherwise(F.concat(out, digits))
 
 
 def rendered(kind: Column, found: Column, new: Column) -> Column:
@@ -153,9 +175,11 @@ def rendered(kind: Column, found: Column, new: Column) -> Column:
     )
     title = F.regexp_extract(found, rf"^(?:(?:{FEMALE_TITLES}|{MALE_TITLES})\.? )?", 0)
     loud = _bare_name(found) == F.upper(_bare_name(found))
+    # What a longer surrogate has beyond the mention.
+    beyond = F.substr(plain, F.length(F.regexp_replace(found, "[^A-Z0-9]", "")) + 1)
     return (
-        F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(letters, ""))
-        .when(kind == "email", F.array_join(cased, ""))
+        F.when(kind.isin("card", "ssn", "phone", "iban"), F.concat(F.array_join(letters, ""), beyond))
+        .when(kind == "email", F.concat(F.array_join(cased, ""), F.substr(new, F.length(found) + 1)))
         .when(kind == "name", F.concat(title, F.when(loud, F.upper(new)).otherwise(new)))
         .otherwise(new)
     )
@@ -166,8 +190,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     No two values of a type get the same surrogate, and no surrogate is a value that
     occurs: where that would happen the smallest value keeps it and the others try again
-    with the next attempt. Raises if 64 attempts are not enough, which takes a type with
-    almost as many values as its format allows.
+    with the next attempt. A type with almost as many values as its format allows gets
+    longer surrogates, so all values are settled.
     """
     known = entities.select("kind", F.when(F.col("kind") == "name", F.initcap("value")).otherwise(F.col("value")).alias("new")).distinct()
     waiting, taken, attempt = entities, None, 0
@@ -182,8 +206,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if waiting.isEmpty():
             return taken
         attempt += 1
-        if attempt == MAX_ATTEMPTS:
-            raise ValueError("an entity type has too many values for its format")
 
 
 def replace_private(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
