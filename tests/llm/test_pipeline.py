@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import DIRECTORY, brute_copies, brute_exact, brute_near
+from test_text_operators import DIRECTORY, brute_copies, brute_exact, brute_near
 from tools_check import rows_of
 from tracegraph.llm.queries import ORACLES, QUERIES
 from tracegraph.llm.tables import table
