@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegraph.llm import decontaminate, exact, langid, licenses, lines, merkle, packing, pii, quality, shards, simhash, warc
+from tracegraph.llm import conversations, decontaminate, exact, langid, licenses, lines, merkle, packing, pii, quality, shards, simhash, warc
 from tracegraph.llm.registry import ORACLES, QUERIES, query
 from tracegraph.llm.sqltext import crc32_sql, octets_sql
 from tracegraph.llm.tables import table
@@ -132,6 +132,12 @@ def op11_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shards.shard_rows(table(spark, directory, "documents"), tree, [*tree, GROWN])
 
 
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return conversations.repair_report(table(spark, directory, "conversations"))
+
+
 _FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.FIELDS) + ")"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
