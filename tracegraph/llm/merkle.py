@@ -36,15 +36,14 @@ def _node(children: Column) -> Column:
 def build(leaves: DataFrame, fan_out: int = FAN_OUT) -> tuple[list[DataFrame], DataFrame]:
     """Records of every level above the leaves, and the tops (key, digest, height).
 
-    ``leaves`` has key, rank (gapless in a key) and digest. While a key has several nodes,
+    ``leaves`` has key, rank (gapless in a key), n (leaves of the key) and digest. While a key has several nodes,
     every ``fan_out`` consecutive ones become one. A level's records are (digest, children),
     each digest once, so equal subtrees are stored once. Groups never exceed ``fan_out``
     rows, whatever a key holds, and each level is a ``fan_out``-th of the one below.
     """
-    sizes = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    level = leaves.join(sizes, "key").select("key", F.col("rank").alias("idx"), "digest", "n")
+    level = leaves.select("key", F.col("rank").alias("idx"), "digest", "n")
     levels, tops = [], level.filter("n = 1").select("key", "digest", F.lit(0).alias("height"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
+    most = level.agg(F.max("n")).first()[0] or 0
     while most > 1:
         children = F.transform(F.array_sort(F.collect_list(F.struct("idx", "digest"))), lambda c: c["digest"])
         grown = level.filter("n > 1").groupBy("key", F.floor(F.col("idx") / fan_out).alias("idx")).agg(children.alias("children"), F.first("n").alias("n"))
@@ -137,11 +136,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fields: tuple[str,
         columns[0].alias("doc_id"), columns[1].alias("source"), key.alias("key"), own.alias("digest"),
         F.when(~other.eqNullSafe(columns[-1]), changed).alias("changed"),
     )
-    leaves = saved(ranked(rows, "key", ["doc_id", "digest"], "rank"), "leaves")
-    levels, subroots = build(leaves.select("key", "rank", "digest"), fan_out)
+    leaves = saved(ranked(rows, "key", ["doc_id", "digest"], "rank", "n"), "leaves")
+    levels, subroots = build(leaves, fan_out)
 
-    named = saved(ranked(subroots.select(F.lit(TOP).alias("top"), "key", "digest", "height"), "top", ["key"], "rank"), "subroots")
-    upper, root = build(named.select(F.col("top").alias("key"), "rank", "digest"), fan_out)
+    named = saved(ranked(subroots.select(F.lit(TOP).alias("top"), "key", "digest", "height"), "top", ["key"], "rank", "n"), "subroots")
+    upper, root = build(named.select(F.col("top").alias("key"), "rank", "digest", "n"), fan_out)
     request = F.struct("key", "digest", "height").alias("request")
     starts = descend(upper, root.withColumn("path", F.array().cast(PATH)), named.select(F.col("top").alias("key"), "rank", request), fan_out)
     tops = starts.select("request.*", F.reverse("path").alias("path"))
