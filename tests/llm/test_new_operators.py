@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegraph.llm import conversations, merkle, shards
+from tracegraph.llm import conversations, decontaminate, langid, lines, merkle, shards, simhash
 from tracegraph.llm.queries import GROWN, QUERIES, SHARDS
 from tracegraph.llm.ranks import ranked
 from tracegraph.llm.tables import table
@@ -193,7 +193,7 @@ def test_manifest_of_little(spark, empty, odd):
 
 
 def test_some_requests_only(spark):
-    leaves = spark.createDataFrame([("a", i, digest(str(i))) for i in range(100)], "key string, rank long, digest string")
+    leaves = spark.createDataFrame([("a", i, digest(str(i)), 100) for i in range(100)], "key string, rank long, digest string, n long")
     levels, tops = merkle.build(leaves, 3)
     asked = leaves.filter("rank IN (0, 41, 99)").select("key", "rank", F.col("digest").alias("request"))
     got = merkle.descend(levels, tops.withColumn("path", F.array().cast(merkle.PATH)), asked, 3)
@@ -342,3 +342,23 @@ def test_paths_rank_nodes_by_their_least_audit():
         rows = [(0, i, "suat"[k % 4], "x") for i, k in enumerate(block)]
         assert "".join(conversations.LETTERS[x] for x in letters) == least(rows, [names[k // 4] for k in block])[1]
         assert places == sorted(places)
+
+
+# names of extra columns
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["_gone", "_id", "_stays", "_clean", "_kept", "_GONE_", "_kept_", "a.b"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` int" for n in names)
+    texts = ["The first text of all of these, about one thing.", "The first text of all of these, about one thing.", "Another one\nof two lines", None]
+    docs = spark.createDataFrame([(i, t, "en", *range(len(names))) for i, t in enumerate(texts)], schema)
+    items = spark.createDataFrame([(1, "Another one of two lines")], "item_id long, text string")
+    stages = {
+        "near": simhash.drop_near_duplicates(docs), "copies": lines.drop_near_copies(docs), "lines": lines.drop_similar_lines(docs),
+        "language": langid.drop_unidentified(docs), "benchmark": decontaminate.drop_contaminated(docs, items),
+    }
+    for name, out in stages.items():
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(list(r)[3:] == list(range(len(names))) for r in rows), name
+    assert {r.doc_id for r in stages["near"].collect()} == {0, 2, 3} == {r.doc_id for r in stages["copies"].collect()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracegraph.llm.tables import map_texts, quoted
+from tracegraph.llm.tables import keep_texts, quoted
 from tracegraph.llm.words import bare_words, chained
 
 SHINGLE = 5
@@ -232,5 +232,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows in which no item is found, columns unchanged."""
     for index in indexes(benchmark, item_id, item_text):
-        docs = map_texts(docs, docs.columns, text, lambda texts, index=index: [[not matches(index, t) for t in texts]], "_clean boolean").filter("_clean").drop("_clean")
+        docs = keep_texts(docs, text, lambda texts, index=index: [not matches(index, t) for t in texts])
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.tables import map_texts, sample_rows
+from tracegraph.llm.tables import keep_texts, map_texts, sample_rows
 
 UNDETERMINED = "und"
 # Size of the hashed n-gram space, as a power of two.
@@ -180,6 +180,5 @@ def drop_unidentified(docs: DataFrame, text: str = "text", lang: str = "lang", o
     """
     model = fit(docs, text, lang, only)
     if not model["names"]:
-        return map_texts(docs, docs.columns, text, lambda texts: [[has_letter(t) for t in texts]], "_stays boolean").filter("_stays").drop("_stays")
-    stays = map_texts(docs, docs.columns, text, lambda texts: [[not d for d in predict(model, texts)[2]]], "_stays boolean")
-    return stays.filter("_stays").drop("_stays")
+        return keep_texts(docs, text, lambda texts: [has_letter(t) for t in texts])
+    return keep_texts(docs, text, lambda texts: [not d for d in predict(model, texts)[2]])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.llm.components import components
-from tracegraph.llm.tables import map_texts, saved
+from tracegraph.llm.tables import map_texts, quoted, saved, without
 from tracegraph.operators.shared import salted_join
 
 SHINGLE = 3
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     def compute(texts):
         return [np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), ["doc_id"], "_t", compute, "fp long")
+    return map_texts(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("_t")), ["doc_id"], "_t", compute, "fp long")
 
 
 # Two words of 32 bits each. Of two differing bits either the low half holds at most
@@ -147,5 +147,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     one stay.
     """
     found = near_duplicates(docs, text, doc_id)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return without(docs, doc_id, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))

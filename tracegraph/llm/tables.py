@@ -23,6 +23,20 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among those of ``gone``, a frame of one column; rows without a key stay."""
+    name = unused("_gone", df.columns)
+    return df.join(gone.toDF(name).distinct(), quoted(key) == quoted(name), "left_anti")
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -88,6 +102,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, compute: Callable, fiel
     return source.mapInArrow(run, StructType([*kept.fields, *made.fields]))
 
 
+def keep_texts(df: DataFrame, text: str, wanted: Callable) -> DataFrame:
+    """The rows for which ``wanted(texts)``, one boolean per text, is true; columns unchanged."""
+    name = unused("_kept", df.columns)
+    marked = map_texts(df, df.columns, text, lambda texts: [wanted(texts)], f"{name} boolean")
+    return marked.filter(quoted(name)).drop(name)
+
+
 def sample_rows(df: DataFrame, label: str, rows: int) -> DataFrame:
     """About ``rows`` rows, the same number for every label; all of a rare label.
 
