@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tracegraph.config import ScoringConfig, load_config
 from tracegraph.functions import paths
-from tracegraph.operators import causal, enrich, history, impact, lookup, resolve, review, scope, textmatch, traverse
+from tracegraph.operators import causal, enrich, history, impact, incremental, lookup, resolve, review, scope, textmatch, traverse
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.shared import first_per_key, materialise
 from tracegraph.session import tune
 from tracegraph.sources import extraction, files, store
+from tracegraph.streaming import changes
 
 FAILURE_SCHEMA = "failure_id string, kind string, text string, path string, test_name string, name string, file string"
 EMPTY_COMMITS = "commit_id long, sha string, author string, date timestamp, subject string, is_merge boolean"
@@ -48,6 +49,22 @@ class CodeGraph:
         tables = {name: store.load_table(spark, root, name, repo_id) for name in extraction.STORED}
         return cls(cls._resolved(spark, tables, commits, commit_lines, as_of), config)
 
+    @classmethod
+    def from_snapshot(cls, snapshots, version: int | None = None, commits=None, commit_lines=None, as_of=None, config=None) -> "CodeGraph":
+        """The graph of a version of a ``SnapshotStore``, without resolving anything again; later versions do not change it."""
+        spark = snapshots.spark
+        history_ = {
+            "commits": commits if commits is not None else spark.createDataFrame([], EMPTY_COMMITS),
+            "commit_lines": commit_lines if commit_lines is not None else spark.createDataFrame([], EMPTY_LINES),
+        }
+        as_of = as_of if as_of is not None else F.current_timestamp()
+        return cls(changes.snapshot_graph(snapshots, snapshots.manifest(version), as_of=as_of, **history_), config)
+
+    def save_snapshot(self, snapshots) -> int:
+        """Write this graph as a new version of a ``SnapshotStore``; returns its number."""
+        depends = incremental.dependencies(self.graph, *incremental.roots_and_packages(self.graph))
+        return snapshots.replace(changes.snapshot_tables(self.graph, depends))
+
     @staticmethod
     def _resolved(spark, tables, commits, commit_lines, as_of) -> Graph:
         commits = commits if commits is not None else spark.createDataFrame([], EMPTY_COMMITS)

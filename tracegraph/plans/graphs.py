@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tracegraph.functions import parsing, paths
 from tracegraph.functions.runtime_names import runtime_names
-from tracegraph.operators import history, impact, lookup, resolve, scope, traverse
-from tracegraph.operators.graph import symbols_with_path
-from tracegraph.operators.shared import first_per_key, overlap_join
+from tracegraph.operators import history, impact, incremental, lookup, resolve, scope, traverse
+from tracegraph.operators.graph import Graph, symbols_with_path
+from tracegraph.operators.shared import first_per_key, materialise, overlap_join
 from tracegraph.plans.lookups import COCHANGE_SQL, FIRST_DEF_SQL, NAME, PATH, RECENT_SQL, RUNTIME, TEST_SQL
 from tracegraph.plans.registry import query, sql_list
 
@@ -377,6 +377,54 @@ def g16(g):
     return out.withColumn("source_symbol_id", F.coalesce("source_symbol_id", F.lit(-1)))
 
 
+# ---- resolution after a change ------------------------------------------------
+
+# Files with a change in the last hour; before it their symbols had other names.
+TOUCHED_SQL = """
+    touched AS (SELECT DISTINCT f.id AS file_id, f.path FROM changes c JOIN files f ON f.path = c.path
+        WHERE c.ts >= (SELECT max(ts) FROM changes) - INTERVAL 1 HOUR)"""
+
+
+def _before_last_hour(g):
+    newest = g.changes.select(F.max("ts")).scalar()
+    recent = g.changes.filter(F.col("ts") >= newest - F.expr("INTERVAL 1 HOUR")).select("path").distinct()
+    touched, _ = materialise(g.files.join(recent, "path", "left_semi").select(F.col("id").alias("file_id")))
+    mark = touched.withColumn("_touched", F.lit(True))
+    renamed = F.when(F.col("_touched"), F.concat("name", F.lit("_before"))).otherwise(F.col("name"))
+    symbols = g.symbols.join(mark, "file_id", "left").withColumn("name", renamed).select(*g.symbols.columns)
+    return Graph(files=g.files, symbols=symbols, raw_edges=g.raw_edges, imports=g.imports, arg_bindings=g.arg_bindings), touched
+
+
+def _no_packages(g):
+    return g.spark.createDataFrame([], "package string, root string")
+
+
+@query("t05_affected_files", f"""
+    WITH {RESOLVE_SQL}, {TOUCHED_SQL},
+    changed_tops AS (SELECT DISTINCT t.path FROM touched t JOIN bf s ON s.file_id = t.file_id WHERE s.parent_id IS NULL),
+    by_name AS (SELECT r.from_file AS file_id FROM r0 r WHERE r.kind = 'CALLS'
+        AND r.to_name IN (SELECT s.name FROM symbols s JOIN touched t ON t.file_id = s.file_id WHERE s.kind = 'method')),
+    by_path AS (SELECT b.file_id FROM import_base b
+        JOIN (VALUES ('python', '.py'), ('typescript', '.ts'), ('typescript', '.tsx')) x(lang, ext) ON x.lang = b.language
+        JOIN changed_tops c ON c.path = b.base || x.ext)
+    SELECT file_id FROM touched UNION SELECT file_id FROM by_name UNION SELECT file_id FROM by_path""")
+def t05_affected(g):
+    """Files whose edges can resolve differently after the changes of the last hour."""
+    old, touched = _before_last_hour(g)
+    depends = incremental.dependencies(old, g.py_roots, _no_packages(g))
+    return incremental.affected_files(depends, incremental.changed_keys(old, g, touched), touched)
+
+
+@query("t05_incremental_resolution", f"WITH {RESOLVE_SQL} SELECT {EDGE_COLUMNS} FROM r6")
+def t05_resolution(g):
+    """Edges of the state before the last hour, with those that its changes reach resolved again."""
+    old, touched = _before_last_hour(g)
+    before = resolve.with_caller(resolve.resolve(old, g.py_roots, _no_packages(g), steps=6)["edges"], old.symbols)
+    change = incremental.resolve_change(old, g, touched, py_roots=g.py_roots, packages=_no_packages(g))
+    kept = before.join(change["affected"].withColumnRenamed("file_id", "from_file"), "from_file", "left_anti")
+    return _edge_rows(kept.select(*change["edges"].columns).unionByName(change["edges"]))
+
+
 @query("g17_local_parents", f"WITH {RESOLVE_SQL} SELECT id, coalesce(parent_id, -1) AS parent_id FROM bf WHERE kind = 'local'")
 def g17(g):
     out = resolve.backfill_local_parents(g.symbols).filter(F.col("kind") == "local")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracegraph.operators.shared import first_per_key
+from tracegraph.operators.graph import Graph
+from tracegraph.operators.shared import first_per_key, materialise
 
 BUCKET = "1 hour"
 
@@ -138,3 +139,84 @@ class GraphUpkeep:
         # Reading and overwriting the same folder: pin the new state first.
         pinned = {name: cut_lineage(df) for name, df in merged.items()}
         store.save_graph(pinned, self.root, self.repo_id)
+
+
+def snapshot_tables(graph: Graph, dependencies: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a resolved graph as a snapshot store keeps them: each with the file a row belongs to."""
+    owner = graph.symbols.select(F.col("id").alias("_symbol"), "file_id")
+
+    def by_symbol(df: DataFrame, key: str) -> DataFrame:
+        return df.join(owner.withColumnRenamed("_symbol", key), key).select(*df.columns, "file_id")
+
+    edges = by_symbol(graph.edges, "from_symbol_id")
+    place = edges.select(F.col("id").alias("edge_id"), "file_id").distinct()
+    return {
+        "files": graph.files.withColumn("file_id", F.col("id")), "file_text": graph.file_text.withColumn("file_id", F.col("id")),
+        "symbols": graph.symbols, "imports": graph.imports, "params": by_symbol(graph.params, "symbol_id"), "raw_edges": by_symbol(graph.raw_edges, "from_symbol_id"),
+        "edges": edges, "arg_bindings": graph.arg_bindings.join(place, "edge_id").select(*graph.arg_bindings.columns, "file_id"),
+        "dependencies": dependencies,
+    }
+
+
+def snapshot_graph(store, manifest: dict | None = None, **history) -> Graph:
+    """The graph of a version, resolved as it was stored."""
+    manifest = manifest or store.manifest()
+    plain = {"symbols", "imports", "dependencies"}
+    tables = {n: store.load(n, manifest) if n in plain else store.load(n, manifest).drop("file_id") for n in manifest["tables"]}
+    return Graph(**tables, **history)
+
+
+class IncrementalUpkeep:
+    """foreachBatch sink that brings a snapshot store to the state of changed files.
+
+    A burst reads its files, finds whose edges can resolve differently, resolves these and
+    writes their buckets; the new version of all tables appears at once. A batch that was
+    already made is skipped, one that died half-way left nothing visible and runs again.
+    ``read_sources(paths)`` gives (path, content) of files that still exist.
+    """
+
+    def __init__(self, store, read_sources):
+        self.store, self.read_sources = store, read_sources
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        from tracegraph.operators import incremental
+        from tracegraph.session import cut_lineage
+        from tracegraph.sources import extraction
+
+        manifest = self.store.manifest()
+        if manifest["batch"] is not None and manifest["batch"] >= epoch:
+            return
+        paths, n = materialise(batch.select("path").distinct())
+        if n == 0:
+            return
+        touched, _ = materialise(paths.select(extraction.file_key(F.col("path")).alias("file_id")))
+        old = snapshot_graph(self.store, manifest)
+        fresh = {k: v for k, v in extraction.graph_tables(self.read_sources(paths)).items() if k in extraction.STORED}
+        blank = F.lit(None).cast("long")
+        old.arg_bindings = old.arg_bindings.withColumn("source_symbol_id", blank)
+        gone_symbols, _ = materialise(old.symbols.join(touched, "file_id", "left_semi").select("id"))
+        gone_edges = old.raw_edges.join(gone_symbols.select(F.col("id").alias("from_symbol_id")), "from_symbol_id", "left_semi").select("id")
+        keys = {
+            "files": ("id", touched.select(F.col("file_id").alias("id"))), "file_text": ("id", touched.select(F.col("file_id").alias("id"))),
+            "symbols": ("file_id", touched), "imports": ("file_id", touched),
+            "raw_edges": ("from_symbol_id", gone_symbols.select(F.col("id").alias("from_symbol_id"))),
+            "params": ("symbol_id", gone_symbols.select(F.col("id").alias("symbol_id"))),
+            "arg_bindings": ("edge_id", gone_edges.select(F.col("id").alias("edge_id"))),
+        }
+        merged = {}
+        for name, (key, gone) in keys.items():
+            table = getattr(old, name)
+            merged[name] = table.join(gone, key, "left_anti").select(*table.columns).unionByName(fresh[name].select(*table.columns))
+        new = Graph(**merged)
+        roots, packages = incremental.roots_and_packages(new)
+        change = incremental.resolve_change(old, new, touched, self.store.load("dependencies", manifest), py_roots=roots, packages=packages)
+        affected = change["affected"]
+        depends = incremental.dependencies(new, roots, packages, affected)
+        part = Graph(
+            files=fresh["files"], file_text=fresh["file_text"], imports=fresh["imports"], params=fresh["params"], raw_edges=fresh["raw_edges"],
+            symbols=cut_lineage(change["symbols"]), edges=cut_lineage(change["edges"].drop("line_text")), arg_bindings=cut_lineage(change["arg_bindings"]),
+        )
+        rows = snapshot_tables(part, depends)
+        rows["symbols"] = rows["symbols"].join(touched, "file_id", "left_semi")
+        reach = {"edges": affected, "arg_bindings": affected, "dependencies": affected}
+        self.store.update(manifest, {name: (reach.get(name, touched), df) for name, df in rows.items()}, epoch)
