@@ -15,6 +15,7 @@ from tracegraph.functions import parsing, paths
 from tracegraph.functions.runtime_names import is_runtime_name
 from tracegraph.operators.graph import Graph
 from tracegraph.operators.shared import first_per_key, overlap_join
+from tracegraph.session import cut_lineage
 
 FUNCTION_KINDS = ["function", "method", "const"]
 
@@ -273,7 +274,8 @@ def resolve(graph: Graph, py_roots: DataFrame | None = None, packages: DataFrame
     ``raw_edges`` of the graph carry the call line in ``line_text``. ``steps``
     stops early (2 = after self methods, 3 = after imports, ...).
     """
-    symbols = backfill_local_parents(graph.symbols)
+    # Every pass reads the symbols, so the join that finds their parents runs once.
+    symbols = cut_lineage(backfill_local_parents(graph.symbols))
     empty = graph.files.sparkSession.createDataFrame([], "package string, root string")
     py_roots = py_roots if py_roots is not None else package_roots(graph.files)
     packages = packages if packages is not None else empty
