@@ -138,41 +138,64 @@ class CodeGraph:
         )
         return traced.unionByName(by_path).unionByName(by_name)
 
-    def resolve_scope(self, failures: DataFrame, max_files: int = scope.MAX_FILES, max_loc: int = scope.MAX_LOC, max_depth: int = 2) -> DataFrame:
-        """Files to look at per structured failure, within the budget."""
+    def resolve_scope(self, failures: DataFrame, max_files: int = scope.MAX_FILES, max_loc: int = scope.MAX_LOC, max_depth: int = 2,
+                      rejected: bool = False) -> DataFrame:
+        """Files to look at per structured failure, within the budget.
+
+        Files that changed together with a seed are seeds as well: their importers come too.
+        """
         seeds, _ = materialise(self.seed_files(failures))
         est = self.graph.file_text.select("id", paths.estimated_loc(F.octet_length("content")).alias("est"))
         sized = Graph(files=self.graph.files.join(est, "id"), file_text=self.graph.file_text)
+        together, _ = materialise(scope.default_cochange(self.graph, seeds, self.config.retrieval))
+        last = seeds.groupBy("failure_id").agg(F.max("seed_ord").alias("_last"))
+        later = together.join(last, "failure_id").select("failure_id", "file_id", (F.col("_last") + 1 + F.col("cochange_rank")).alias("seed_ord"))
+        every = seeds.select("failure_id", "file_id", "seed_ord").unionByName(later).groupBy("failure_id", "file_id").agg(F.min("seed_ord").alias("seed_ord"))
         return scope.resolve_scope(
-            sized, seeds, scope.file_import_edges(self.graph), scope.importers(self.graph, seeds),
-            scope.default_cochange(self.graph, seeds, self.config.retrieval), max_files, max_loc, max_depth, F.col("est"),
+            sized, seeds, scope.file_import_edges(self.graph), scope.importers(self.graph, every), together, max_files, max_loc, max_depth,
+            F.col("est"), rejected,
         )
 
+    def _anchors(self, structured: DataFrame, seeds: DataFrame, scoped: DataFrame) -> DataFrame:
+        """(failure_id, name, path, tier): the symbol a failure names, else the first fit one of its files."""
+        primary = scope.primary_symbol(seeds).withColumnRenamed("symbol", "named")
+        first = seeds.filter(F.col("seed_ord") == 1).join(self.graph.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+        picked = causal.pick_anchor(self.graph, first.select("failure_id", "path"), scoped.select("failure_id", "path"))
+        joined = structured.select("failure_id").join(primary, "failure_id", "left").join(picked, "failure_id", "left")
+        own = F.col("named").isNotNull()
+        return joined.select(
+            "failure_id", F.coalesce("named", "name").alias("name"), F.when(~own, F.col("path")).alias("path"), F.when(own, 0).otherwise(F.col("tier")).alias("tier")
+        ).filter(F.col("name").isNotNull())
+
+    def rca_notes(self, failures: DataFrame) -> DataFrame:
+        """(failure_id, notes) of structured failures: what was not found, widened or cut."""
+        structured, _ = materialise(failures.filter(F.col("kind") != "free-text"))
+        seeds, _ = materialise(self.seed_files(structured))
+        judged, _ = materialise(self.resolve_scope(structured, rejected=True))
+        return scope.scope_notes(structured, seeds, judged, self._anchors(structured, seeds, judged.filter(F.col("limit").isNull())))
+
     def rca(self, failures: DataFrame, top_n: int = 5, legacy: bool = False, dataflow: bool = True) -> DataFrame:
         """Ranked candidates for every failure of the batch: (failure_id, rank, name, file, line, score, rationale...).
 
-        ``failures`` follow FAILURE_SCHEMA. Failures without an anchor give no rows.
+        ``failures`` follow FAILURE_SCHEMA. Structured failures are ranked inside their own
+        scope: walks stay in its files, calls that leave it count as open. Failures without
+        an anchor give no rows.
         """
         failures, _ = materialise(failures)
         structured = failures.filter(F.col("kind") != "free-text")
         seeds, _ = materialise(self.seed_files(structured))
         scoped, _ = materialise(self.resolve_scope(structured))
+        files_of = scoped.select(F.col("failure_id").alias("scope_id"), "file_id")
         columns = ["failure_id", "rank", "name", "file", "line", "role", "distance", "score", "rationale"]
         # One anchor for traces, tests and symbols.
-        single = structured.filter(F.col("kind") != "file").select("failure_id")
-        primary = scope.primary_symbol(seeds).withColumnRenamed("symbol", "name")
-        seed_paths = seeds.filter(F.col("seed_ord") == 1).join(
-            self.graph.files.select(F.col("id").alias("file_id"), "path"), "file_id"
-        ).select("failure_id", "path")
-        picked = causal.pick_anchor(self.graph, seed_paths, scoped.select("failure_id", "path")).select("failure_id", F.col("name").alias("picked"))
-        anchors = single.join(primary, "failure_id", "left").join(picked, "failure_id", "left").select(
-            F.col("failure_id").alias("seed_id"), F.coalesce("name", "picked").alias("name")
-        ).filter(F.col("name").isNotNull())
-        chains = causal.causal_chain(self.graph, anchors, top_n, self.config, legacy, dataflow).withColumnRenamed("seed_id", "failure_id")
-        out = chains.select(*columns)
-        # Every symbol of the seed files for file failures.
-        by_file = seeds.join(structured.filter(F.col("kind") == "file"), "failure_id", "left_semi")
-        many = causal.multi_anchor(self.graph, scope.seeds_from_scope(self.graph, by_file), top_n, self.config, legacy, dataflow)
+        single = self._anchors(structured.filter(F.col("kind") != "file"), seeds, scoped)
+        anchors = single.select(F.col("failure_id").alias("seed_id"), "name")
+        chains = causal.causal_chain(self.graph, anchors, top_n, self.config, legacy, dataflow, within=traverse.Scope(files_of))
+        out = chains.withColumnRenamed("seed_id", "failure_id").select(*columns)
+        # Every symbol of the seed files, and of those that changed with them, for file failures.
+        by_file = scoped.filter(F.col("stage") <= 1).join(structured.filter(F.col("kind") == "file"), "failure_id", "left_semi")
+        file_seeds = scope.seeds_from_scope(self.graph, by_file.select("failure_id", "file_id", F.col("scope_rank").alias("seed_ord")))
+        many = causal.multi_anchor(self.graph, file_seeds, top_n, self.config, legacy, dataflow, scopes=files_of)
         out = out.unionByName(many.drop("rank").withColumnRenamed("merged_rank", "rank").select(*columns))
         # Text matches for prose.
         texts = failures.filter(F.col("kind") == "free-text").select(F.col("failure_id").alias("text_id"), "text")

@@ -10,19 +10,26 @@ from tracegraph.functions import signals
 from tracegraph.operators import history
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.impact import unresolved_targets
-from tracegraph.operators.lookup import first_definitions
+from tracegraph.operators.lookup import DEFINITION_ORDER, first_definitions
 from tracegraph.operators.shared import first_per_key, materialise, top_k
-from tracegraph.operators.traverse import callees_of, callers_of, hops_to
+from tracegraph.operators.traverse import Scope, callees_of, callers_of, hops_to, with_file
 
 WINDOW_DAYS = 90
 ROLE_ORDER = {"anchor": 0, "caller": 1, "callee": 2}
 MAX_FLOW_HOPS = 4
 
 
-def anchors(graph: Graph, seeds: DataFrame) -> DataFrame:
+def anchors(graph: Graph, seeds: DataFrame, within: Scope | None = None) -> DataFrame:
     """(seed_id, name, file, line): the anchor row of every seed ``seeds(seed_id, name[, file, line])``."""
     if "file" in seeds.columns:
         return seeds.select("seed_id", "name", "file", "line")
+    if within is not None:
+        own = within.keep(symbols_with_path(graph).join(seeds.select("seed_id", "name"), "name"), "file_id")
+        ordered = own.select(
+            "seed_id", F.when(F.col("exported"), 0).otherwise(1).alias("exported_rank"), "path", "start_line", "end_line", "id", "file_id", "kind", "subsystem"
+        )
+        first = first_per_key(ordered, ["seed_id"], DEFINITION_ORDER).select("seed_id", F.col("path").alias("file"), F.col("start_line").alias("line"))
+        return seeds.select("seed_id", "name").join(first, "seed_id", "left").select("seed_id", "name", "file", "line")
     defs = first_definitions(graph, seeds).select("name", F.col("path").alias("file"), F.col("start_line").alias("line"))
     return seeds.select("seed_id", "name").join(defs, "name", "left").select("seed_id", "name", "file", "line")
 
@@ -112,12 +119,14 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return marked(left).join(marked(right).drop("file"), [*rest, "_file"], how).drop("_file")
 
 
-def dataflow_hops(graph: Graph, candidates: DataFrame) -> DataFrame:
+def dataflow_hops(graph: Graph, candidates: DataFrame, within: Scope | None = None) -> DataFrame:
     """(seed_id, name, arg_hops) of the shortest flow path from a candidate's name to the anchor's name."""
     anchor_names = candidates.filter(F.col("role") == "anchor").select("seed_id", F.col("name").alias("anchor_name"))
     ids = graph.symbols.select(F.col("id").alias("node_id"), "name")
     targets = anchor_names.join(ids, anchor_names["anchor_name"] == ids["name"]).select("seed_id", "node_id")
-    hops = hops_to(graph, targets, MAX_FLOW_HOPS)
+    if within is not None:
+        targets = within.keep(with_file(graph, targets, "node_id", "_file_id"), "_file_id").drop("_file_id")
+    hops = hops_to(graph, targets, MAX_FLOW_HOPS, within)
     sources = (
         candidates.select("seed_id", "name").distinct().join(anchor_names, "seed_id").filter(F.col("name") != F.col("anchor_name"))
         .select("seed_id", "name")
@@ -128,7 +137,7 @@ def dataflow_hops(graph: Graph, candidates: DataFrame) -> DataFrame:
 
 
 def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
-                     dataflow: bool = True, names=None) -> DataFrame:
+                     dataflow: bool = True, names=None, within: Scope | None = None) -> DataFrame:
     """Candidates with their seven signals, weighted score and rationale."""
     keys = ["seed_id", "file", "name"]
     nodes, n_nodes = materialise(candidates.select("file", "name").distinct())
@@ -143,7 +152,7 @@ def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig
     anchor_meta = rows.filter(F.col("role") == "anchor").select("seed_id", F.col("subsystem").alias("anchor_subsystem"))
     rows = rows.join(anchor_meta, "seed_id", "left")
     if dataflow:
-        rows = rows.join(dataflow_hops(graph, candidates), ["seed_id", "name"], "left")
+        rows = rows.join(dataflow_hops(graph, candidates, within), ["seed_id", "name"], "left")
     else:
         rows = rows.withColumn("arg_hops", F.lit(0))
     is_anchor = F.col("role") == "anchor"
@@ -177,15 +186,19 @@ def rank_order():
     ]
 
 
-def causal_chain(graph: Graph, seeds: DataFrame, top_n: int = 5, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
-                 dataflow: bool = True, callee_depth: int = 1, names=None) -> DataFrame:
-    """Ranked candidates per seed ``seeds(seed_id, name[, file, line])``."""
-    anchor_rows, _ = materialise(anchors(graph, seeds))
+def candidates_around(graph: Graph, anchor_rows: DataFrame, callee_depth: int = 1, within: Scope | None = None) -> DataFrame:
+    """The anchors with their callers and callees."""
     named = anchor_rows.select("seed_id", "name")
-    callers = callers_of(graph, named, 2, 0.5)
-    callees = callees_of(graph, named, callee_depth)
-    candidates, _ = materialise(collect_candidates(anchor_rows, callers, callees))
-    scored = score_candidates(graph, candidates, config, legacy, dataflow, names)
+    callers = callers_of(graph, named, 2, 0.5, within)
+    return collect_candidates(anchor_rows, callers, callees_of(graph, named, callee_depth, within))
+
+
+def causal_chain(graph: Graph, seeds: DataFrame, top_n: int = 5, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
+                 dataflow: bool = True, callee_depth: int = 1, names=None, within: Scope | None = None) -> DataFrame:
+    """Ranked candidates per seed ``seeds(seed_id, name[, file, line])``; with ``within`` each seed sees its own files only."""
+    anchor_rows, _ = materialise(anchors(graph, seeds, within))
+    candidates, _ = materialise(candidates_around(graph, anchor_rows, callee_depth, within))
+    scored = score_candidates(graph, candidates, config, legacy, dataflow, names, within)
     return top_k(scored, ["seed_id"], rank_order(), top_n, rank="rank")
 
 
@@ -199,16 +212,19 @@ def merge_chains(chains: DataFrame, group: str, top_n: int = 5) -> DataFrame:
 
 
 def multi_anchor(graph: Graph, seeds: DataFrame, top_n: int = 5, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
-                 dataflow: bool = True, names=None) -> DataFrame:
+                 dataflow: bool = True, names=None, scopes: DataFrame | None = None) -> DataFrame:
     """Chains of many anchors merged per failure.
 
     ``seeds(failure_id, seed_ord, name, file, line)``. A name that seeds
-    several failures is walked once.
+    several failures is walked once; with ``scopes(scope_id, file_id)`` once per failure,
+    inside that failure's files.
     """
-    keyed = seeds.withColumn("seed_id", F.struct("name", "file", "line"))
+    own = ["name", "file", "line"] if scopes is None else ["failure_id", "name", "file", "line"]
+    keyed = seeds.withColumn("seed_id", F.struct(*own))
     keyed, _ = materialise(keyed)
     distinct = keyed.select("seed_id", "name", "file", "line").distinct()
-    chains = causal_chain(graph, distinct, max(top_n * 2, 10), config, legacy, dataflow, names=names)
+    within = None if scopes is None else Scope(scopes, F.col("seed_id.failure_id"))
+    chains = causal_chain(graph, distinct, max(top_n * 2, 10), config, legacy, dataflow, names=names, within=within)
     tagged = keyed.select("failure_id", "seed_ord", "seed_id").join(chains, "seed_id")
     return merge_chains(tagged, "failure_id", top_n)
 

@@ -11,7 +11,7 @@ joined salted) and ends the walk once a level adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.operators.graph import Graph, symbols_with_path
@@ -19,6 +19,27 @@ from tracegraph.operators.shared import first_per_key, materialise
 from tracegraph.session import cut_lineage
 
 
+class Scope:
+    """Files a walk may use, apart for every scope: ``files(scope_id, file_id)``; ``key`` gives the scope of a row's seed.
+
+    A walk of many seeds then runs on (seed, node) with each seed held inside its own files.
+    """
+
+    def __init__(self, files: DataFrame, key: Column | None = None):
+        self.files = files.select(F.col("scope_id").alias("_scope"), F.col("file_id").alias("_file")).distinct()
+        self.key = F.col("seed_id") if key is None else key
+
+    def keep(self, rows: DataFrame, file: str, how: str = "left_semi") -> DataFrame:
+        """Rows whose file lies in their seed's scope, or with ``left_anti`` the others."""
+        keyed = rows.withColumns({"_scope": self.key, "_file": F.col(file)})
+        return keyed.join(self.files, ["_scope", "_file"], how).select(*rows.columns)
+
+
+def with_file(graph: Graph, df: DataFrame, symbol: str, file: str) -> DataFrame:
+    """``df`` with the file of a symbol; rows without one are left out."""
+    return df.join(graph.symbols.select(F.col("id").alias(symbol), F.col("file_id").alias(file)), symbol)
+
+
 def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, value))
 
@@ -32,21 +53,24 @@ def seed_frame(graph: Graph, seeds) -> DataFrame:
     return spark.createDataFrame([(n, n) for n in names], "seed_id string, name string")
 
 
-def seed_nodes(graph: Graph, seeds: DataFrame) -> DataFrame:
+def seed_nodes(graph: Graph, seeds: DataFrame, within: Scope | None = None) -> DataFrame:
     """Every symbol carrying a seed's name."""
-    return graph.symbols.select(F.col("id").alias("node_id"), "name").join(seeds, "name").select("seed_id", "node_id")
+    nodes = graph.symbols.select(F.col("id").alias("node_id"), "name", "file_id").join(seeds, "name").select("seed_id", "node_id", "file_id")
+    return (nodes if within is None else within.keep(nodes, "file_id")).drop("file_id")
 
 
-def reach(start: DataFrame, adjacency: DataFrame, levels: int) -> tuple[DataFrame, int]:
+def reach(start: DataFrame, adjacency: DataFrame, levels: int, within: Scope | None = None) -> tuple[DataFrame, int]:
     """(seed_id, node_id, depth) of nodes within ``levels`` hops, and its row count.
 
-    ``adjacency(node_id, next_id)``. What was reached is only added to: a level writes
-    its new nodes and nothing else.
+    ``adjacency(node_id, next_id)``, with ``within`` also next_file. What was reached is
+    only added to: a level writes its new nodes and nothing else.
     """
     frontier, fresh = materialise(start.select("seed_id", "node_id", F.lit(0).alias("depth")).distinct())
     visited, total = frontier, fresh
     for level in range(1, levels + 1):
-        step = adjacency.join(frontier.select("seed_id", "node_id"), ["node_id"]).select("seed_id", F.col("next_id").alias("node_id"), F.lit(level).alias("depth"))
+        step = adjacency.join(frontier.select("seed_id", "node_id"), ["node_id"])
+        step = step if within is None else within.keep(step, "next_file")
+        step = step.select("seed_id", F.col("next_id").alias("node_id"), F.lit(level).alias("depth"))
         frontier, fresh = materialise(step.distinct().join(visited, ["seed_id", "node_id"], "left_anti"))
         if fresh == 0:
             break
@@ -59,14 +83,16 @@ def call_edges(graph: Graph, min_confidence: float | None = None) -> DataFrame:
     return calls if min_confidence is None else calls.filter(F.col("confidence") >= min_confidence)
 
 
-def callers_of(graph: Graph, seeds, depth: int = 2, min_confidence: float = 0.5) -> DataFrame:
+def callers_of(graph: Graph, seeds, depth: int = 2, min_confidence: float = 0.5, within: Scope | None = None) -> DataFrame:
     """Functions that call the seeds, directly or through others, one row per (seed, file, name)."""
     depth = clamp(depth, 1, 5)
     seeds = seed_frame(graph, seeds)
     calls = call_edges(graph, min_confidence).filter(F.col("to_symbol_id").isNotNull())
     adjacency = calls.select(F.col("to_symbol_id").alias("node_id"), F.col("from_symbol_id").alias("next_id"))
-    reached, n_reached = reach(seed_nodes(graph, seeds), adjacency, depth - 1)
+    adjacency = adjacency if within is None else with_file(graph, adjacency, "next_id", "next_file")
+    reached, n_reached = reach(seed_nodes(graph, seeds, within), adjacency, depth - 1, within)
     hits = calls.select(F.col("to_symbol_id").alias("node_id"), "from_symbol_id", "call_line", "confidence").join(reached, ["node_id"])
+    hits = hits if within is None else within.keep(with_file(graph, hits, "from_symbol_id", "_from_file"), "_from_file").drop("_from_file")
     where = symbols_with_path(graph).select(F.col("id"), F.col("name"), F.col("path").alias("file"))
     caller = where.withColumnRenamed("id", "from_symbol_id")
     parent = where.select(
@@ -90,19 +116,25 @@ def callers_of(graph: Graph, seeds, depth: int = 2, min_confidence: float = 0.5)
     )
 
 
-def callees_of(graph: Graph, seeds, depth: int = 1) -> DataFrame:
-    """What the seeds call; unresolved targets stay as leaves with a NULL file."""
+def callees_of(graph: Graph, seeds, depth: int = 1, within: Scope | None = None) -> DataFrame:
+    """What the seeds call; unresolved targets, and those outside a scope, stay as leaves with a NULL file."""
     depth = clamp(depth, 1, 4)
     seeds = seed_frame(graph, seeds)
     calls = call_edges(graph)
-    start = seed_nodes(graph, seeds)
+    start = seed_nodes(graph, seeds, within)
     adjacency = calls.filter(F.col("to_symbol_id").isNotNull()).select(
         F.col("from_symbol_id").alias("node_id"), F.col("to_symbol_id").alias("next_id")
     )
-    reached, n_reached = reach(start, adjacency, depth - 1)
+    adjacency = adjacency if within is None else with_file(graph, adjacency, "next_id", "next_file")
+    reached, n_reached = reach(start, adjacency, depth - 1, within)
     hits = calls.select(
             F.col("from_symbol_id").alias("node_id"), "to_symbol_id", "to_name", "confidence", "call_line", "resolution_kind"
         ).join(reached, ["node_id"])
+    if within is not None:
+        found = with_file(graph, hits, "to_symbol_id", "_to_file")
+        outside = within.keep(found, "_to_file", "left_anti").withColumn("to_symbol_id", F.lit(None).cast("long"))
+        inside = within.keep(found, "_to_file").unionByName(outside).select(*hits.columns)
+        hits = hits.filter(F.col("to_symbol_id").isNull()).unionByName(inside)
     files = symbols_with_path(graph).select(F.col("id").alias("to_symbol_id"), F.col("path").alias("file"))
     slim = hits.select(
         "seed_id", "to_symbol_id", "to_name", (F.col("depth") + 1).alias("depth"), (-F.col("confidence")).alias("_c"),
@@ -151,18 +183,20 @@ def arg_flow(graph: Graph) -> DataFrame:
     return bound.select("edge_id", F.col("source_symbol_id").alias("src")).join(edges, "edge_id").select("src", "dst").distinct()
 
 
-def hops_to(graph: Graph, targets: DataFrame, max_depth: int) -> DataFrame:
+def hops_to(graph: Graph, targets: DataFrame, max_depth: int, within: Scope | None = None) -> DataFrame:
     """(seed_id, node_id, hops, arg_hops): shortest flow path from every node to a target.
 
     ``targets(seed_id, node_id)``. Among shortest paths the one with the fewest
     argument hops counts.
     """
-    flow = cut_lineage(flow_edges(graph).select(F.col("dst").alias("node_id"), F.col("src").alias("next_id"), "is_arg"))
+    flow = flow_edges(graph).select(F.col("dst").alias("node_id"), F.col("src").alias("next_id"), "is_arg")
+    flow = cut_lineage(flow if within is None else with_file(graph, flow, "next_id", "next_file"))
     frontier, fresh = materialise(targets.select("seed_id", "node_id", F.lit(0).alias("hops"), F.lit(0).alias("arg_hops")).distinct())
     state = frontier
     for level in range(1, max_depth + 1):
+        near = flow.join(frontier.select("seed_id", "node_id", "arg_hops"), ["node_id"])
         step = (
-            flow.join(frontier.select("seed_id", "node_id", "arg_hops"), ["node_id"])
+            (near if within is None else within.keep(near, "next_file"))
             .groupBy("seed_id", F.col("next_id").alias("node_id"))
             .agg(F.min(F.col("arg_hops") + F.col("is_arg")).alias("arg_hops"))
             .select("seed_id", "node_id", F.lit(level).alias("hops"), "arg_hops")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracegraph.functions import parsing, paths
 from tracegraph.functions.runtime_names import runtime_names
-from tracegraph.operators import history, impact, incremental, lookup, resolve, scope, traverse
+from tracegraph.operators import causal, history, impact, incremental, lookup, resolve, scope, traverse
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.shared import first_per_key, materialise, overlap_join
 from tracegraph.plans.lookups import COCHANGE_SQL, FIRST_DEF_SQL, NAME, PATH, RECENT_SQL, RUNTIME, TEST_SQL
@@ -560,6 +560,45 @@ def g07(g):
     return scope.resolve_scope(g, _trace_seeds(g), scope.file_import_edges(g), max_loc=10_000_000).select("failure_id", "file_id", "stage")
 
 
+SCOPED_SQL = """
+    {TRACE}, {IMPORTS},
+    stage0 AS (SELECT failure_id, file_id FROM seeds),
+    stage2 AS (SELECT failure_id, file_id FROM stage0 UNION SELECT s.failure_id, e.to_file FROM stage0 s JOIN import_edges e ON e.from_file = s.file_id),
+    scope AS (SELECT failure_id, file_id FROM stage2 UNION SELECT s.failure_id, e.to_file FROM stage2 s JOIN import_edges e ON e.from_file = s.file_id),
+    prim AS (SELECT failure_id, arg_min(symbol, seed_ord) AS name FROM seeds WHERE symbol NOT IN ('', '<anonymous>') GROUP BY failure_id),
+    starts AS (SELECT DISTINCT p.failure_id, s.id FROM prim p JOIN symbols s ON s.name = p.name JOIN scope c ON c.failure_id = p.failure_id AND c.file_id = s.file_id),
+    good AS (SELECT e.*, s.file_id AS from_file FROM edges e JOIN symbols s ON s.id = e.from_symbol_id WHERE e.kind = 'CALLS' AND e.to_symbol_id IS NOT NULL AND e.confidence >= 0.5),
+    up1 AS (SELECT DISTINCT q.failure_id, g.from_symbol_id AS id FROM starts q JOIN good g ON g.to_symbol_id = q.id
+        JOIN scope c ON c.failure_id = q.failure_id AND c.file_id = g.from_file),
+    up AS (SELECT failure_id, id, min(d) AS d FROM (SELECT failure_id, id, 0 AS d FROM starts UNION ALL SELECT failure_id, id, 1 FROM up1) x GROUP BY ALL),
+    caller_rows AS (SELECT u.failure_id, f.path AS file, s.name, min(u.d) + 1 AS distance FROM up u JOIN good g ON g.to_symbol_id = u.id
+        JOIN scope c ON c.failure_id = u.failure_id AND c.file_id = g.from_file
+        JOIN symbols s ON s.id = g.from_symbol_id JOIN files f ON f.id = s.file_id GROUP BY ALL),
+    callee_rows AS (SELECT DISTINCT q.failure_id, CASE WHEN c.file_id IS NOT NULL THEN f.path END AS file, e.to_name AS name FROM starts q
+        JOIN edges e ON e.from_symbol_id = q.id AND e.kind = 'CALLS' LEFT JOIN symbols s ON s.id = e.to_symbol_id
+        LEFT JOIN files f ON f.id = s.file_id LEFT JOIN scope c ON c.failure_id = q.failure_id AND c.file_id = s.file_id),
+    first_def AS (SELECT failure_id, name, path FROM (SELECT p.failure_id, p.name, f.path,
+            row_number() OVER (PARTITION BY p.failure_id ORDER BY CASE WHEN s.exported THEN 0 ELSE 1 END, f.path, s.start_line, s.id) AS rn
+        FROM prim p JOIN symbols s ON s.name = p.name JOIN scope c ON c.failure_id = p.failure_id AND c.file_id = s.file_id JOIN files f ON f.id = s.file_id) x WHERE rn = 1),
+    candidates AS (
+        SELECT p.failure_id, d.path AS file, p.name, 'anchor' AS role, 0 AS distance, 0 AS o FROM prim p LEFT JOIN first_def d USING (failure_id)
+        UNION ALL SELECT failure_id, file, name, 'caller', distance, 1 FROM caller_rows
+        UNION ALL SELECT failure_id, file, name, 'callee', 1, 2 FROM callee_rows)
+    SELECT failure_id, coalesce(file, '?') AS file, name, role, distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY failure_id, file, name ORDER BY distance, o) AS rn FROM candidates) x WHERE rn = 1"""
+
+
+@query("g18_candidates_in_scope", "WITH " + SCOPED_SQL.format(TRACE=TRACE_SQL, IMPORTS=IMPORT_EDGES_SQL))
+def g18_scoped(g):
+    """Candidates of every trace, found inside the files in scope of that trace."""
+    seeds, _ = materialise(_trace_seeds(g))
+    files = scope.resolve_scope(g, seeds, scope.file_import_edges(g), max_loc=10_000_000)
+    within = traverse.Scope(files.select(F.col("failure_id").alias("scope_id"), "file_id"))
+    named = scope.primary_symbol(seeds).select(F.col("failure_id").alias("seed_id"), F.col("symbol").alias("name"))
+    found = causal.candidates_around(g, causal.anchors(g, named, within), within=within)
+    return found.select(F.col("seed_id").alias("failure_id"), F.coalesce("file", F.lit("?")).alias("file"), "name", "role", "distance")
+
+
 @query("g07_scope_budget", f"""
     WITH {TRACE_SQL}
     SELECT failure_id, file_id, seed_ord AS scope_rank, CAST(sum(loc) OVER (PARTITION BY failure_id ORDER BY seed_ord) AS BIGINT) AS running_loc
