@@ -140,11 +140,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return salted_join(prints, assigned, ["fp"]).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def near_duplicate_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id) of the documents that are not the smallest of their component."""
+    return near_duplicates(docs, text, doc_id).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with the smallest identifier of their component, all columns unchanged.
 
     Rows that share an identifier are one document and stay or go together; rows without
     one stay.
     """
-    found = near_duplicates(docs, text, doc_id)
-    return without(docs, doc_id, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return without(docs, doc_id, near_duplicate_ids(docs, text, doc_id))

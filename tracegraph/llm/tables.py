@@ -32,9 +32,13 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is not among those of ``gone``, a frame of one column; rows without a key stay."""
+    """The rows whose ``key`` is not among those of ``gone``, a frame of one column; rows without a key stay.
+
+    The keys are written first: Spark knows their size then, and leaves the rows where they
+    are if it is below its threshold for broadcasts.
+    """
     name = unused("_gone", df.columns)
-    return df.join(gone.toDF(name).distinct(), quoted(key) == quoted(name), "left_anti")
+    return df.join(saved(gone.toDF(name).distinct(), "gone"), quoted(key) == quoted(name), "left_anti")
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
