@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracegraph.llm import decontaminate, exact, langid, lines, packing, simhash
-from tracegraph.llm.tables import saved, table
+from tracegraph.llm.tables import saved, table, without
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by fingerprints the one with the smallest identifier stays.
 
-    Fingerprints within two bits miss near copies of five-word Jaccard 0.8, so the
-    documents that remain are compared by their words as well.
+    Fingerprints within two bits miss near copies of five-word Jaccard 0.8, so documents
+    with an earlier one of those go as well.
     """
-    return lines.drop_near_copies(saved(simhash.drop_near_duplicates(docs), "stage-fingerprints"))
+    gone = saved(simhash.near_duplicate_ids(docs), "stage-linked").unionByName(lines.near_copy_ids(docs))
+    return without(docs, "doc_id", gone)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
