@@ -37,7 +37,7 @@ def test_stages(spark):
             assert set(got.doc_id) == {r[0] for r in brute_exact([(i, texts[i]) for i in ids]) if r[3]}
         elif k == 2:
             first = {r[0] for r in brute_near([(i, texts[i]) for i in ids]) if r[0] == r[2]}
-            assert set(got.doc_id) == first - brute_copies([(i, texts[i]) for i in first])
+            assert set(got.doc_id) == first - brute_copies([(i, texts[i]) for i in ids])
         elif k == 3:
             items = [r.text for r in table(spark, DIRECTORY, "benchmark").collect()]
             holds = {i for i in ids if any(item in texts[i] for item in items)}
