@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegraph.config import ScoringConfig
 from tracegraph.functions import signals
-from tracegraph.operators import history
+from tracegraph.operators import history, packed
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.impact import unresolved_targets
 from tracegraph.operators.lookup import DEFINITION_ORDER, first_definitions
@@ -137,7 +137,7 @@ def dataflow_hops(graph: Graph, candidates: DataFrame, within: Scope | None = No
 
 
 def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
-                     dataflow: bool = True, names=None, within: Scope | None = None) -> DataFrame:
+                     dataflow: bool = True, names=None, within: Scope | None = None, packed_walks: bool = False) -> DataFrame:
     """Candidates with their seven signals, weighted score and rationale."""
     keys = ["seed_id", "file", "name"]
     nodes, n_nodes = materialise(candidates.select("file", "name").distinct())
@@ -152,7 +152,8 @@ def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig
     anchor_meta = rows.filter(F.col("role") == "anchor").select("seed_id", F.col("subsystem").alias("anchor_subsystem"))
     rows = rows.join(anchor_meta, "seed_id", "left")
     if dataflow:
-        rows = rows.join(dataflow_hops(graph, candidates, within), ["seed_id", "name"], "left")
+        hops = packed.dataflow_hops(graph, candidates, MAX_FLOW_HOPS) if packed_walks else dataflow_hops(graph, candidates, within)
+        rows = rows.join(hops, ["seed_id", "name"], "left")
     else:
         rows = rows.withColumn("arg_hops", F.lit(0))
     is_anchor = F.col("role") == "anchor"
@@ -202,6 +203,18 @@ def causal_chain(graph: Graph, seeds: DataFrame, top_n: int = 5, config: Scoring
     return top_k(scored, ["seed_id"], rank_order(), top_n, rank="rank")
 
 
+def causal_chains_of_many(graph: Graph, seeds: DataFrame, top_n: int = 5, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
+                          names=None) -> DataFrame:
+    """``causal_chain`` for very many seeds ``seeds(seed_id, name)``: the same rows, by walks of 64 seeds a word."""
+    anchor_rows, _ = materialise(anchors(graph, seeds))
+    numbered = packed.numbered(anchor_rows.select("seed_id", "name"))
+    callers = packed.callers_of(graph, numbered)
+    callees = callees_of(graph, anchor_rows.select("seed_id", "name"))
+    candidates, _ = materialise(collect_candidates(anchor_rows, callers, callees))
+    scored = score_candidates(graph, candidates, config, legacy, names=names, packed_walks=True)
+    return top_k(scored, ["seed_id"], rank_order(), top_n, rank="rank")
+
+
 def merge_chains(chains: DataFrame, group: str, top_n: int = 5) -> DataFrame:
     """One list per group: every (file, name) with its best score over the group's seeds."""
     order = [-F.round("score", SCORE_DIGITS), "seed_ord", "rank"]

@@ -166,6 +166,38 @@ def g19_unit(g):
     return _chain_rows(causal.causal_chain(g, _seed_frame(g), top_n=25, legacy=True))
 
 
+# Every function name is a seed. The walk back is told level by level, as its pairs are too many for one recursion.
+ALL_SEEDS_SQL = f"""
+    first_defs AS ({FIRST_DEF_SQL}),
+    seeds AS (SELECT n.name AS seed_id, n.name, d.path AS file, d.start_line AS line
+              FROM (SELECT DISTINCT name FROM symbols WHERE kind = 'function') n LEFT JOIN first_defs d ON d.name = n.name)"""
+
+
+def _levels_back(max_hops: int) -> str:
+    parts = ["back0 AS (SELECT DISTINCT c.seed_id, s.id, 0 AS d, 0 AS a FROM cand c JOIN symbols s ON s.name = c.name WHERE c.role = 'anchor'),"]
+    for level in range(1, max_hops + 1):
+        seen = " UNION ALL ".join(f"SELECT seed_id, id FROM back{k}" for k in range(level))
+        parts.append(f"""
+    back{level} AS (SELECT x.* FROM (SELECT b.seed_id, f.src AS id, {level} AS d, min(b.a + f.is_arg) AS a FROM back{level - 1} b JOIN flow f ON f.dst = b.id GROUP BY b.seed_id, f.src) x
+        ANTI JOIN ({seen}) v ON v.seed_id = x.seed_id AND v.id = x.id),""")
+    union = " UNION ALL ".join(f"SELECT * FROM back{k}" for k in range(max_hops + 1))
+    return "".join(parts) + f"""
+    hops AS (SELECT b.seed_id, s.name, min(b.d * 10 + b.a) % 10 AS a FROM ({union}) b JOIN symbols s ON s.id = b.id GROUP BY ALL),
+    """
+
+
+SCORES_ALL_SQL = SCORES_SQL[: SCORES_SQL.index("back(seed_id")] + _levels_back(4) + SCORES_SQL[SCORES_SQL.index("raw_signals AS"):]
+
+
+@query("g19_causal_chain_all", f"""
+    WITH {ALL_SEEDS_SQL}, {CANDIDATES_SQL}, {SCORES_ALL_SQL}
+    SELECT {CHAIN_COLUMNS}, round(CAST(score AS DOUBLE), 6) AS score FROM ranked WHERE rank <= 3""")
+def g19_all(g):
+    """The three best candidates of every function of the graph."""
+    names = g.symbols.filter(F.col("kind") == "function").select(F.col("name").alias("seed_id"), "name").distinct()
+    return _chain_rows(causal.causal_chains_of_many(g, names, top_n=3))
+
+
 @query("a04_cochange_clusters", f"""
     WITH {NAMED_SEEDS_SQL}, {CANDIDATES_SQL}, {SCORES_SQL}
     SELECT seed_id, coalesce(file, '?') AS file, name, round(CAST(co AS DOUBLE), 6) AS co_change_score FROM bonus""")
