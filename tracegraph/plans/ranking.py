@@ -213,7 +213,7 @@ def a04(g):
     WITH {FILE_SEEDS_SQL}, {CANDIDATES_SQL}, {SCORES_SQL}
     SELECT seed_id, rank, name, coalesce(file, '?') AS file FROM ranked WHERE rank <= 5""")
 def w08(g):
-    out = causal.causal_chain(g, _file_seeds(g), top_n=5, dataflow=False)
+    out = causal.causal_chain(g, _file_seeds(g), top_n=5)
     return out.select("seed_id", "rank", "name", F.coalesce("file", F.lit("?")).alias("file"))
 
 
@@ -230,7 +230,7 @@ def _merged(g):
     seeds = _file_seeds(g).select(
         F.lit("f5").alias("failure_id"), F.struct("line", "seed_id").alias("seed_ord"), "name", "file", "line"
     )
-    return causal.multi_anchor(g, seeds, top_n=5, dataflow=False)
+    return causal.multi_anchor(g, seeds, top_n=5)
 
 
 @query("g20_multi_anchor", MERGE_SQL)
@@ -242,7 +242,7 @@ def g20(g):
     WITH {FILE_SEEDS_SQL}, {CANDIDATES_SQL}, {SCORES_SQL}
     SELECT name, coalesce(file, '?') AS file, round(max(CAST(score AS DOUBLE)), 6) AS score FROM ranked WHERE rank <= 10 GROUP BY ALL""")
 def a06(g):
-    chains = causal.causal_chain(g, _file_seeds(g), top_n=10, dataflow=False)
+    chains = causal.causal_chain(g, _file_seeds(g), top_n=10)
     return chains.groupBy("name", F.coalesce("file", F.lit("?")).alias("file")).agg(F.round(F.max("score"), 6).alias("score"))
 
 
@@ -396,7 +396,7 @@ def j19(g):
 
 @query("g22_free_text_rca")
 def g22(g):
-    out = textmatch.free_text_rca(g, g.failure_texts, dataflow=False)
+    out = textmatch.free_text_rca(g, g.failure_texts)
     return out.select("failure_id", "rank", "name", "file", "line", F.round("score", 6).alias("score"), "source")
 
 
