@@ -137,7 +137,7 @@ def dataflow_hops(graph: Graph, candidates: DataFrame, within: Scope | None = No
 
 
 def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig = ScoringConfig(), legacy: bool = False,
-                     dataflow: bool = True, names=None, within: Scope | None = None, packed_walks: bool = False) -> DataFrame:
+                     dataflow: bool = True, names=None, within: Scope | None = None) -> DataFrame:
     """Candidates with their seven signals, weighted score and rationale."""
     keys = ["seed_id", "file", "name"]
     nodes, n_nodes = materialise(candidates.select("file", "name").distinct())
@@ -152,7 +152,7 @@ def score_candidates(graph: Graph, candidates: DataFrame, config: ScoringConfig
     anchor_meta = rows.filter(F.col("role") == "anchor").select("seed_id", F.col("subsystem").alias("anchor_subsystem"))
     rows = rows.join(anchor_meta, "seed_id", "left")
     if dataflow:
-        hops = packed.dataflow_hops(graph, candidates, MAX_FLOW_HOPS) if packed_walks else dataflow_hops(graph, candidates, within)
+        hops = packed.dataflow_hops(graph, candidates, MAX_FLOW_HOPS) if within is None else dataflow_hops(graph, candidates, within)
         rows = rows.join(hops, ["seed_id", "name"], "left")
     else:
         rows = rows.withColumn("arg_hops", F.lit(0))
@@ -211,7 +211,7 @@ def causal_chains_of_many(graph: Graph, seeds: DataFrame, top_n: int = 5, config
     callers = packed.callers_of(graph, numbered)
     callees = callees_of(graph, anchor_rows.select("seed_id", "name"))
     candidates, _ = materialise(collect_candidates(anchor_rows, callers, callees))
-    scored = score_candidates(graph, candidates, config, legacy, names=names, packed_walks=True)
+    scored = score_candidates(graph, candidates, config, legacy, names=names)
     return top_k(scored, ["seed_id"], rank_order(), top_n, rank="rank")
 
 
