@@ -10,8 +10,9 @@ from tracegraph.functions.runtime_names import is_runtime_name
 from tracegraph.operators import history
 from tracegraph.operators.graph import Graph, symbols_with_path
 from tracegraph.operators.lookup import first_definitions
-from tracegraph.operators.shared import first_per_key, materialise, substring_join, top_k
+from tracegraph.operators.shared import first_per_key, materialise, top_k
 from tracegraph.operators.traverse import callers_of, clamp, seed_frame
+from tracegraph.operators.wordindex import WordIndex
 
 MAX_TESTS = 8
 
@@ -36,10 +37,14 @@ def unresolved_counts(graph: Graph, nodes: DataFrame, names=None) -> DataFrame:
     return unresolved_targets(graph, nodes, names).groupBy("file", "name").agg(F.count(F.lit(1)).alias("n_unresolved"))
 
 
-def tests_mentioning(graph: Graph, names: DataFrame) -> DataFrame:
-    """(name, test_path): indexed test files whose text contains the name."""
-    tests = graph.file_text.filter(paths.is_test_path(F.col("path"))).select(F.col("path").alias("test_path"), "content")
-    return substring_join(names, "name", tests, "test_path", "content").select("name", "test_path")
+def test_index(graph: Graph) -> WordIndex:
+    """Index of the test files' texts, a part per file; build it once where many searches follow."""
+    return WordIndex.build(graph.file_text.filter(paths.is_test_path(F.col("path"))), "path", "content", part="id")
+
+
+def tests_mentioning(graph: Graph, names: DataFrame, tests: WordIndex | None = None) -> DataFrame:
+    """(name, test_path): indexed test files whose text contains the name; ``tests`` is a stored ``test_index``."""
+    return (tests or test_index(graph)).containing(names, "name", "test_path").select("name", "test_path")
 
 
 def near_test(test_path: Column, file: Column) -> Column:

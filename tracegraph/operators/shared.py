@@ -72,33 +72,39 @@ def materialise(df: DataFrame) -> tuple[DataFrame, int]:
 GRAM_CLASSES = [(8, None, 8), (4, 8, 4), (2, 4, 2), (1, 2, 1)]
 
 
-def substring_join(needles: DataFrame, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
-    """(hay_id, needle) pairs where the text contains the needle, without comparing all pairs.
+def gram_candidates(needles: DataFrame, source: DataFrame) -> DataFrame:
+    """(_hay, _needle) pairs whose text holds the needle's first gram; ``needles(_needle)`` distinct, ``source(_hay, _text)``.
 
-    The haystack is cut into the grams of each length class, joined on the
-    needle's first gram, and every surviving pair is checked against the text.
+    A gram class without needles costs no pass over the texts.
     """
-    distinct, n_needles = materialise(
-        needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
-    )
-    source = hay.select(F.col(hay_id).alias("_hay"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     size = F.length("_needle")
     in_class = [size >= low if high is None else (size >= low) & (size < high) for low, high, _ in GRAM_CLASSES]
-    present = distinct.agg(*[F.count_if(c) for c in in_class]).first()
-    parts = [source.select("_hay", F.lit(None).cast("string").alias("_needle")).limit(0)]
+    present = needles.agg(*[F.count_if(c) for c in in_class]).first()
+    candidates = source.select("_hay", F.lit(None).cast("string").alias("_needle")).limit(0)
     for condition, (_, _, gram), count in zip(in_class, GRAM_CLASSES, present):
         if not count:
             continue
-        wanted = distinct.filter(condition).withColumn("_gram", F.substring("_needle", 1, gram))
+        wanted = needles.filter(condition).withColumn("_gram", F.substring("_needle", 1, gram))
         # A look-ahead yields the gram at every position in one scan of the text.
         every_gram = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
         grams = source.select("_hay", F.explode(F.array_distinct(every_gram)).alias("_gram"))
-        parts.append(grams.join(wanted, ["_gram"]).select("_hay", "_needle"))
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
+        candidates = candidates.unionByName(grams.join(wanted, ["_gram"]).select("_hay", "_needle"))
+    return candidates
+
+
+def substring_join(needles: DataFrame, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
+    """(hay_id, needle) pairs where the text contains the needle, without comparing all pairs.
+
+    For short texts: they are cut into the grams of each length class, joined on the
+    needle's first gram, and every surviving pair is checked against the text. Long
+    texts are searched through ``wordindex.WordIndex``.
+    """
+    distinct, _ = materialise(
+        needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    )
+    source = hay.select(F.col(hay_id).alias("_hay"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     return (
-        candidates.join(source, "_hay")
+        gram_candidates(distinct, source).join(source, "_hay")
         .filter(F.contains("_text", F.col("_needle")))
         .select(F.col("_hay").alias(hay_id), F.col("_needle").alias(needle))
     )
