@@ -142,7 +142,9 @@ def graph_tables(sources: DataFrame, manifests: DataFrame | None = None, cached:
     imports = nested.select("path", fid.alias("file_id"), F.posexplode("imports").alias("n", "i")).select(
         F.col("n").cast("long").alias("id"), "file_id", "i.local_name", "i.source_module", "i.source_name", "i.kind"
     )
-    return {
-        "files": files, "file_text": nested.select(fid.alias("id"), "path", "language", "content"), "symbols": symbols.unionByName(promoted),
-        "raw_edges": raw_edges, "imports": imports, "params": params, "arg_bindings": arg_bindings, "facts": nested,
+    tables = {"files": files, "symbols": symbols.unionByName(promoted), "raw_edges": raw_edges, "imports": imports, "params": params, "arg_bindings": arg_bindings}
+    # Spark knows the bytes of the nested rows as stored, which says nothing about the rows
+    # they unfold to: without the hint joins would broadcast all symbols.
+    return {name: df.hint("merge") for name, df in tables.items()} | {
+        "file_text": nested.select(fid.alias("id"), "path", "language", "content"), "facts": nested,
     }
