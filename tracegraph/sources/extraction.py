@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from tracegraph.functions import text as tx
 from tracegraph.functions.paths import dirname, language_of, prefixes
 from tracegraph.operators.shared import first_per_key
-from tracegraph.sources.files import READ_BYTES
 from tracegraph.sources.python_source import python_facts
 from tracegraph.sources.typescript_source import typescript_facts
 
 # Language name -> function(source) with symbols, edges, imports and params.
 EXTRACTORS: dict[str, Callable] = {"python": python_facts, "typescript": typescript_facts}
 
+# Source text whose facts one worker holds at a time: as Python objects they take some
+# fifty times its size. A file counts as a line at least.
+FACT_BYTES, LINE_BYTES = 256 << 10, 64
+
 STORED = ["files", "file_text", "symbols", "raw_edges", "imports", "params", "arg_bindings"]
 
 FACTS_SCHEMA = """
@@ -39,6 +42,26 @@ def register(language: str, extractor: Callable) -> None:
     EXTRACTORS[language] = extractor
 
 
+def fact_batches(batches: Iterator[pd.DataFrame], extractors: dict[str, Callable]) -> Iterator[pd.DataFrame]:
+    """Nested rows of the files (path, language, content), in parts of about FACT_BYTES of source."""
+    empty = dict(symbols=[], edges=[], imports=[], params=[])
+    for batch in batches:
+        rows, size = [], 0
+        for path, language, content in zip(batch["path"], batch["language"], batch["content"]):
+            found, error = None, None
+            try:
+                found = extractors[language](content) if language in extractors and content else None
+            except Exception as failure:  # noqa: BLE001 - one file must not end the job
+                error = f"{type(failure).__name__}: {failure}"[:200]
+            part = {k: getattr(found, k) for k in empty} if found else empty
+            rows.append(dict(path=path, language=language, content=content, error=error, **part))
+            size += len(content) + LINE_BYTES
+            if size > FACT_BYTES:
+                yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
+
+
 def facts(sources: DataFrame) -> DataFrame:
     """One nested row per file ``sources(path, content)``; unknown languages keep an empty row.
 
@@ -48,22 +71,7 @@ def facts(sources: DataFrame) -> DataFrame:
     extractors = dict(EXTRACTORS)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = dict(symbols=[], edges=[], imports=[], params=[])
-        for batch in batches:
-            rows, size = [], 0
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"]):
-                found, error = None, None
-                try:
-                    found = extractors[language](content) if language in extractors and content else None
-                except Exception as failure:  # noqa: BLE001 - one file must not end the job
-                    error = f"{type(failure).__name__}: {failure}"[:200]
-                part = {k: getattr(found, k) for k in empty} if found else empty
-                rows.append(dict(path=path, language=language, content=content, error=error, **part))
-                size += len(content)
-                if size > READ_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["path", "language", "content", *empty, "error"])
+        yield from fact_batches(batches, extractors)
 
     known = F.when(F.col("content").isNull(), F.lit("unparsed")).otherwise(language_of(F.col("path")))
     rows = sources.select("path", known.alias("language"), F.coalesce("content", F.lit("")).alias("content"))
