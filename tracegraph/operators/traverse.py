@@ -53,6 +53,15 @@ def seed_frame(graph: Graph, seeds) -> DataFrame:
     return spark.createDataFrame([(n, n) for n in names], "seed_id string, name string")
 
 
+def name_seeds(named: DataFrame) -> DataFrame:
+    """(seed_id, name): a seed for every distinct name.
+
+    A walk without a scope starts at all symbols of a name, so seeds that share one have the
+    same rows. Many seeds are walked by name, and their results joined back by it.
+    """
+    return named.filter(F.col("name").isNotNull()).select(F.col("name").alias("seed_id"), "name").distinct()
+
+
 def seed_nodes(graph: Graph, seeds: DataFrame, within: Scope | None = None) -> DataFrame:
     """Every symbol carrying a seed's name."""
     nodes = graph.symbols.select(F.col("id").alias("node_id"), "name", "file_id").join(seeds, "name").select("seed_id", "node_id", "file_id")

@@ -76,7 +76,8 @@ def g01_strict(g):
     SELECT seed_id, depth, count(*) AS n FROM named GROUP BY ALL""")
 def g01_batch(g):
     seeds = g.symbols.filter(F.col("kind") == "class").select(F.col("id").alias("seed_id"), "name")
-    return traverse.callers_of(g, seeds).groupBy("seed_id", "depth").agg(F.count(F.lit(1)).alias("n"))
+    per_name = traverse.callers_of(g, traverse.name_seeds(seeds)).groupBy(F.col("seed_id").alias("name"), "depth").agg(F.count(F.lit(1)).alias("n"))
+    return seeds.join(per_name, "name").select("seed_id", "depth", "n")
 
 
 @query("g02_callees_of", f"""
