@@ -29,15 +29,16 @@ def enrich(graph: Graph, candidates: DataFrame, max_lines: int = 30, since_days:
     bodies = defs.join(graph.file_text.select(F.col("id").alias("file_id"), "content"), "file_id").select(
         "cand_id", tx.source_slice(F.col("content"), F.col("start_line"), F.col("end_line"), max_lines).alias("source")
     )
-    seeds = defs.select(F.col("cand_id").alias("seed_id"), "name")
+    names = traverse.name_seeds(defs)
 
     def neighbours(df: DataFrame, alias: str) -> DataFrame:
         best = top_k(df, ["seed_id"], [F.desc("confidence"), F.asc("name"), F.asc("file")], MAX_NEIGHBOURS, rank="r")
         listed = F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda s: s["name"])
-        return best.groupBy(F.col("seed_id").alias("cand_id")).agg(listed.alias(alias))
+        per_name = best.groupBy(F.col("seed_id").alias("name")).agg(listed.alias(alias))
+        return defs.select("cand_id", "name").join(per_name, "name").select("cand_id", alias)
 
-    callers = neighbours(traverse.callers_of(graph, seeds, 1), "callers")
-    callees = neighbours(traverse.callees_of(graph, seeds, 1).filter("resolved"), "callees")
+    callers = neighbours(traverse.callers_of(graph, names, 1), "callers")
+    callees = neighbours(traverse.callees_of(graph, names, 1).filter("resolved"), "callees")
     ranges = defs.select(F.col("cand_id").alias("range_id"), "file_id", "start_line", "end_line")
     newest = history.newest_changes(graph, ranges, since_days, MAX_COMMITS)
     commits = newest.groupBy(F.col("range_id").alias("cand_id")).agg(
