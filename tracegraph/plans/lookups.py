@@ -228,14 +228,8 @@ def j13(g):
     FROM symbols s JOIN commit_lines c ON c.file_id = s.file_id AND s.start_line <= c.end_line AND s.end_line >= c.start_line
     GROUP BY s.id""")
 def j14(g):
-    """Hunks and commits per symbol. Hunks are first counted per commit and range, so hot files shrink before the join."""
-    hunks = g.commit_lines.groupBy("file_id", "commit_id", F.col("start_line").alias("hs"), F.col("end_line").alias("he")).agg(
-        F.count(F.lit(1)).alias("m")
-    )
-    syms = g.symbols.select("id", "file_id", "start_line", "end_line")
-    hits = overlap_join(syms, hunks, ["file_id"], ("start_line", "end_line"), ("hs", "he"))
-    per_commit = hits.groupBy("id", "commit_id").agg(F.sum("m").alias("m"))
-    return per_commit.groupBy("id").agg(F.sum("m").alias("n_hunks"), F.count(F.lit(1)).alias("n_commits"))
+    """Hunks and commits per symbol. A commit counts at the first of its hunks that meets the symbol, so pairs of symbol and commit are not grouped."""
+    return history.hunk_counts(g.symbols.select("id", "file_id", "start_line", "end_line"), g.commit_lines)
 
 
 @query("j15_longest_package_prefix", """
