@@ -46,3 +46,14 @@ def test_cochange_is_counted_per_file(spark, monkeypatch):
     got = {tuple(r) for r in scope.default_cochange(graph(spark), frame(spark)).collect()}
     assert asked == [3]
     assert got == {("a", 5, 1001), ("a", 6, 1002), ("b", 5, 1001), ("b", 6, 1002), ("c", 5, 1001), ("c", 6, 2002)}
+
+
+def test_names_are_looked_up_in_the_files_of_a_scope(spark):
+    symbols = spark.createDataFrame([(i, i % 50, "same") for i in range(1000)], "id long, file_id long, name string")
+    within = traverse.Scope(spark.createDataFrame([("s", 3), ("t", 4), ("t", 5)], "scope_id string, file_id long"))
+    seeds = spark.createDataFrame([("s", "same"), ("t", "same")], "seed_id string, name string")
+    nodes = traverse.seed_nodes(Graph(symbols=symbols), seeds, within)
+    assert {(r.seed_id, r.node_id % 50) for r in nodes.collect()} == {("s", 3), ("t", 4), ("t", 5)} and nodes.count() == 60
+    # The symbols are joined once, with the files, and not first with every seed of their name.
+    joins = [line for line in nodes._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert any("name" in j and "file_id" in j for j in joins)
