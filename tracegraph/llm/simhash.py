@@ -102,7 +102,18 @@ def _stars(crowd: DataFrame) -> DataFrame:
     masked = one_each.unionByName(high).unionByName(low).withColumn("masked", _without(F.col("fp"), F.col("i"), F.col("j")))
     keys = ["i", "j", "masked"]
     least = masked.groupBy(*keys).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return masked.join(least, keys).filter("fp <> a").select("a", F.col("fp").alias("b"))
+    return masked.hint("merge").join(least, keys).filter("fp <> a").select("a", F.col("fp").alias("b"))
+
+
+def buckets(distinct: DataFrame) -> DataFrame:
+    """The variants that two fingerprints or more share, with ``n``, how many do.
+
+    Spark judges variants by the bytes of the fingerprints they are unfolded from, a 33rd of their
+    own, so they join by shuffle: a broadcast would bring all of them to the driver.
+    """
+    index = variants(distinct)
+    sizes = index.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return index.hint("merge").join(sizes, ["slot", "value"])
 
 
 def links(distinct: DataFrame, pairwise: int = PAIRWISE, rows: int | None = None) -> DataFrame:
@@ -113,9 +124,7 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE, rows: int | None = None
     """
     # A few files hold many fingerprints; each becomes 33 rows, so they are dealt out first.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = variants(distinct.repartition(tasks, "fp"))
-    sizes = index.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowd = saved(index.join(sizes, ["slot", "value"]), "buckets", rows and 33 * rows)
+    crowd = saved(buckets(distinct.repartition(tasks, "fp")), "buckets", rows and 33 * rows)
     return _pairs(crowd.filter(F.col("n") <= pairwise)).unionByName(_stars(crowd.filter(F.col("n") > pairwise)).distinct())
 
 
